@@ -53,6 +53,8 @@ class Source:
     rows: int
     record: int
     data_at: int
+    #: Whether times that no clock shows (negative, a day or more) are null; if not, times must be read as numbers.
+    clip = True
 
     def splits(self, n: int, start: int = 0, count: int | None = None) -> list[tuple[int, int]]:
         """About ``n`` consecutive (start, count) ranges of rows."""
@@ -116,10 +118,11 @@ def array(values: np.ndarray, null: np.ndarray | None, kind: str) -> pa.Array:
         return pa.array(values.astype(want.to_pandas_dtype(), copy=False), want, mask=null)
     with np.errstate(invalid="ignore"):
         safe = np.where(null, 0, values) if null is not None else values
-        return pa.array(safe.astype(plain.to_pandas_dtype()), plain, mask=null).cast(want)
+        made = pa.array(safe.astype(plain.to_pandas_dtype()), plain, mask=null)
+        return made if kind == "time" else made.cast(want)
 
 
-def temporal(v: np.ndarray, null: np.ndarray, kind: str, epoch_s: int) -> tuple[np.ndarray, np.ndarray]:
+def temporal(v: np.ndarray, null: np.ndarray, kind: str, epoch_s: int, clip: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Seconds since an epoch before 1970 by ``epoch_s`` as a date, a timestamp or a time of day."""
     v = np.where(null, 0.0, v)
     if kind == "date":
@@ -127,7 +130,7 @@ def temporal(v: np.ndarray, null: np.ndarray, kind: str, epoch_s: int) -> tuple[
     if kind == "timestamp":
         return np.trunc((v - epoch_s) * 1e6), null
     ns = np.trunc(v * 1e9)
-    return ns, null | (ns < 0) | (ns >= DAY_S * 1e9)
+    return ns, null | (ns < 0) | (ns >= DAY_S * 1e9) if clip else null
 
 
 def text(block: np.ndarray, offset: int, width: int, encoding: str, empty_null: bool, cut_nul: bool = True) -> pa.Array:

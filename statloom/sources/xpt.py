@@ -141,7 +141,7 @@ class Xpt(Source):
         if c.kind == "date":
             return array(np.trunc(np.where(null, 0, v)) - SAS_DAYS, null, "date"), None
         if c.kind in ("timestamp", "time"):
-            v, null = temporal(v, null, c.kind, SAS_DAYS * 86_400)
+            v, null = temporal(v, null, c.kind, SAS_DAYS * 86_400, self.clip)
         return array(v, null, c.kind), None
 
     def metadata(self) -> dict:
