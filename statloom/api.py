@@ -53,11 +53,13 @@ def scan(
     time_as: str = "time",
     num_partitions: int | None = None,
     true_periods: bool = False,
+    push_filters: bool = False,
 ) -> DataFrame:
     """A lazy DataFrame over a statistical file; the extension says which format.
 
-    ``columns`` are all that is decoded (Spark can't prune a Python source by itself); filters that follow are evaluated
-    in the source before batches are made. Rows come in the file's order unless something reorders them;
+    ``columns`` are all that is decoded (Spark can't prune a Python source by itself). With ``push_filters``, simple
+    filters that follow are evaluated in the source before batches are made; Spark 4.1 then keeps them in the frame, so
+    such a frame is for one query: another one over it without filters would see filtered rows. Rows come in the file's order unless something reorders them;
     ``preserve_order`` adds their place in the file (``row_index``, the last column) or sorts by it (``sort``).
     ``informative_nulls`` keeps user-defined missing codes beside, within or instead of the values. ``time_as``: times of
     day as Spark's TIME, as text, or as microseconds. ``threads`` is accepted and ignored: partitions run in parallel.
@@ -84,8 +86,9 @@ def scan(
         raise ValueError(f"the file has a column {index!r}; choose another row_index_name")
     if time_as == "time" and any(c.kind == "time" for c in source.wanted(names)):
         spark.conf.set(TIME, "true")
-    spark.conf.set(PUSHDOWN, "true")
-    given = {"columns": json.dumps(names) if names is not None else None, "tagged": json.dumps(tagged), "tagLabels": str(bool(nulls and nulls.use_value_labels)).lower(), "emptyNull": str(missing_string_as_null).lower(), "rowIndex": index, "nRows": n_rows, "offset": offset, "partitions": num_partitions or _partitions(spark, source), "batchRows": batch_size, "timeAs": time_as, "periods": str(true_periods).lower(), "pushdown": "true"}
+    if push_filters:
+        spark.conf.set(PUSHDOWN, "true")
+    given = {"columns": json.dumps(names) if names is not None else None, "tagged": json.dumps(tagged), "tagLabels": str(bool(nulls and nulls.use_value_labels)).lower(), "emptyNull": str(missing_string_as_null).lower(), "rowIndex": index, "nRows": n_rows, "offset": offset, "partitions": num_partitions or _partitions(spark, source), "batchRows": batch_size, "timeAs": time_as, "periods": str(true_periods).lower(), "pushdown": str(push_filters).lower()}
     df = spark.read.format(fmt).options(**{k: v for k, v in given.items() if v is not None}).load(path)
     if time_as == "string":
         df = df.select(*[clock_text(F.col(f"`{f.name}`")).alias(f.name) if any(c.name == f.name and c.kind == "time" for c in source.columns) else F.col(f"`{f.name}`") for f in df.schema.fields])

@@ -50,7 +50,7 @@ def dta_projection_limit_agg(spark, sf):
 
 def dta_pushed_filter(spark, sf):
     path = _stored(spark, _table(spark, sf, "orders"), "orders.dta")
-    return scan(spark, path, columns=["o_orderkey", "o_totalprice"]).filter((F.col("o_totalprice") > 200000) & F.col("o_orderkey").isNotNull()).select(F.col("o_orderkey").cast("bigint"), "o_totalprice")
+    return scan(spark, path, columns=["o_orderkey", "o_totalprice"], push_filters=True).filter((F.col("o_totalprice") > 200000) & F.col("o_orderkey").isNotNull()).select(F.col("o_orderkey").cast("bigint"), "o_totalprice")
 
 
 def dta_rows_and_offset(spark, sf):
