@@ -17,4 +17,4 @@ QUERIES = {
         mixing.op10_mixing,
     )
 }
-ORACLE = {**exact_dedup.SQL, **mixing.SQL, **substring_dedup.SQL, **embedding_join.SQL}
+ORACLE = {**exact_dedup.SQL, **mixing.SQL, **jaccard_join.SQL, **substring_dedup.SQL, **embedding_join.SQL}

@@ -211,8 +211,8 @@ SQL = {
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 x AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
 f AS (SELECT g, min(doc_id) AS first_id FROM x GROUP BY g),
-gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS at FROM x JOIN f USING (g) WHERE first_id < doc_id GROUP BY doc_id),
-k AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(len(at), 0) AS n_removed, CASE WHEN at IS NULL THEN ws ELSE list_filter(list_transform(ws, lambda v, i: CASE WHEN list_contains(at, i) THEN NULL ELSE v END), lambda v: v IS NOT NULL) END AS kept FROM w LEFT JOIN gone USING (doc_id))
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS places FROM x JOIN f USING (g) WHERE first_id < doc_id GROUP BY doc_id),
+k AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(len(places), 0) AS n_removed, CASE WHEN places IS NULL THEN ws ELSE [ws[j] for j in range(1, len(ws) + 1) if NOT list_contains(places, j)] END AS kept FROM w LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 }
