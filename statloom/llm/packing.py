@@ -8,6 +8,7 @@ capacity below them.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -19,36 +20,89 @@ from pyspark.sql import functions as F
 
 from .common import table, text_of, written
 
-SIZE, END_ID, GROUP_PIECES, CACHE = 2048, 1, 8192, 400_000
+SIZE, END_ID, GROUP_PIECES, CACHE = 2048, 1, 8192, 700_000
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it is printable, else the next one
+    from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class Encoder:
     """Ids of a text by a public tokenizer, with a memory of white-space-separated chunks.
 
     The tokenizer drops white space and no rule of it looks across ASCII white space, so a text's ids are those of its
-    chunks in a row. Texts that may hold a special token's string are encoded whole.
+    chunks in a row. Chunks of Latin letters, digits and signs are lower-cased and split here as the tokenizer's own
+    rules do, and its model is asked for each part; other chunks, and texts that may hold a special token's string, go
+    through the whole tokenizer. When the memory is full it starts anew.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
+        import regex
         from tokenizers import Tokenizer
 
-        self.whole, self.cache, self.most = Tokenizer.from_file(path), {}, cache
+        self.whole = Tokenizer.from_file(path)
+        self.model, self.most = self.whole.model, cache
+        self.chunks: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.plain = regex.compile(r"[\x21-\x7E\u00A1-\u024F]+")
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.characters = _byte_characters()
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= self.most:
+                self.parts.clear()
+            text = part if part.isascii() else "".join([self.characters[b] for b in part.encode()])
+            found = self.parts[part] = _packed([t.id for t in self.model.tokenize(text)])
+        return found
 
-    def __call__(self, text: str) -> np.ndarray:
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if text.isascii() and text.isprintable():
+            parts = self.split.findall(text.lower())
+        elif self.plain.fullmatch(text):
+            parts = self.split.findall("".join([c.lower() for c in text]))
+        else:
+            return _packed(self.whole.encode(text, add_special_tokens=False).ids)
+        return self._part(parts[0]) if len(parts) == 1 else b"".join(map(self._part, parts))
+
+    def __call__(self, text: str) -> bytes:
+        """The ids, as little-endian unsigned 32-bit integers."""
         if "<|" in text:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        chunks, have = text.encode().split(), self.cache
-        new = list({c for c in chunks if c not in have})
-        if new:
-            if len(have) + len(new) > self.most:
+            return _packed(self.whole.encode(text, add_special_tokens=False).ids)
+        chunks = text.encode().split()
+        found = list(map(self.chunks.get, chunks))
+        if None in found:
+            have = self.chunks
+            if len(have) >= self.most:
                 have.clear()
-                new = list(set(chunks))
-            for a in range(0, len(new), 4096):
-                some = new[a : a + 4096]
-                for c, e in zip(some, self.whole.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
-                    have[c] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([have[c] for c in chunks]), "<u4")
+            for k, f in enumerate(found):
+                if f is None:
+                    c = chunks[k]
+                    found[k] = f = have.get(c)
+                    if f is None:
+                        found[k] = have[c] = self._chunk(c)
+        return b"".join(found)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder, with what it remembers from earlier tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _pieces(path: str, size: int, end_id: int):
@@ -56,15 +110,15 @@ def _pieces(path: str, size: int, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(path)
-        end = np.array([end_id], "<u4")
+        encode, width = encoder(path), 4 * size
+        end = _packed([end_id])
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([encode(text.as_py()), end])
-                for a in range(0, len(ids), size):
-                    part = ids[a : a + size]
-                    out.append((doc_id, a, len(part), crc32(part.tobytes()), len(ids)))
+                ids = encode(text.as_py()) + end
+                for a in range(0, len(ids), width):
+                    part = ids[a : a + width]
+                    out.append((doc_id, a // 4, len(part) // 4, crc32(part), len(ids) // 4))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run

@@ -202,8 +202,9 @@ def test_packing(spark):
             assert len(bins) * 2048 < 1.1 * total
     assert packing.pack(cases.empty(spark)).count() == 0
     special = packing.Encoder(packing.tokenizer_path())
-    for t in ["a <|endoftext|> b", "x's don't y \x1cz", "É́ ﬁ 12 !!", "  "]:
-        assert special(t).tolist() == whole.encode(t, add_special_tokens=False).ids
+    odd = ["a <|endoftext|> b", "x's don't y \x1cz", "E\u0301 ﬁ 12 !!", "  ", "İstanbul ΣΑΣ Ǆ a\u00a0b a\u00adb 1²½ ª't'S", "\x85 \u3000x\u2003y 你好 e\u0301 \x7f\x00q"]
+    for t in [*odd, "".join(map(chr, range(1, 0x260))), " ".join(map(chr, range(1, 0x260))), " ".join(chr(k) + "a" + chr(k + 1) for k in range(33, 0x2000, 3))]:
+        assert np.frombuffer(special(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
 def test_first_fit_decreasing():
