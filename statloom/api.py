@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,7 @@ from . import options as opt
 from .functions.text import clock_text
 from .operators import transforms as tr
 from .sources import datasource as ds
+from .sources.files import listed
 from .sources.sas7bcat import read_sas7bcat
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
@@ -35,7 +37,7 @@ def _catalog_labels(source, catalog: dict[str, dict]) -> dict[str, dict]:
 
 def scan(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     *,
     threads=None,
     missing_string_as_null: bool = False,
@@ -60,7 +62,8 @@ def scan(
     ``columns`` are all that is decoded (Spark can't prune a Python source by itself). With ``push_filters``, simple
     filters that follow are evaluated in the source before batches are made; Spark 4.1 then keeps them in the frame, so
     such a frame is for one query: another one over it without filters would see filtered rows. Rows come in the file's order unless something reorders them;
-    ``preserve_order`` adds their place in the file (``row_index``, the last column) or sorts by it (``sort``).
+    A list of paths, or a pattern with ``*`` or ``?``, is read as one frame: the first file (by name) gives schema and
+    labels, tasks read the headers of their own files. ``preserve_order`` adds their place in the file (``row_index``, the last column) or sorts by it (``sort``).
     ``informative_nulls`` keeps user-defined missing codes beside, within or instead of the values. ``time_as``: times of
     day as Spark's TIME, as text, or as microseconds. ``threads`` is accepted and ignored: partitions run in parallel.
     """
@@ -68,6 +71,13 @@ def scan(
     if time_as not in ("time", "string", "micros"):
         raise ValueError("time_as must be 'time', 'string' or 'micros'")
     overrides = schema_overrides if schema_overrides is not None else (reader.schema_overrides if reader else None)
+    files = _several(path)
+    if files:
+        if n_rows is not None or offset is not None or (order and order.mode != "buffered"):
+            raise ValueError("rows of several files have no common order: n_rows, offset and row indexes are for one file")
+        path = files[0]
+        if len({opt.format_of(f) for f in files}) > 1:
+            raise ValueError("files that are read together must be of one format")
     fmt = opt.format_of(path)
     if str(path).endswith(".sas7bcat"):
         raise ValueError("a catalog holds labels, not rows: read it with read_sas7bcat or pass it as catalog=")
@@ -88,7 +98,7 @@ def scan(
         spark.conf.set(TIME, "true")
     if push_filters:
         spark.conf.set(PUSHDOWN, "true")
-    given = {"columns": json.dumps(names) if names is not None else None, "tagged": json.dumps(tagged), "tagLabels": str(bool(nulls and nulls.use_value_labels)).lower(), "emptyNull": str(missing_string_as_null).lower(), "rowIndex": index, "nRows": n_rows, "offset": offset, "partitions": num_partitions or _partitions(spark, source), "batchRows": batch_size, "timeAs": time_as, "periods": str(true_periods).lower(), "pushdown": str(push_filters).lower()}
+    given = {"columns": json.dumps(names) if names is not None else None, "tagged": json.dumps(tagged), "tagLabels": str(bool(nulls and nulls.use_value_labels)).lower(), "emptyNull": str(missing_string_as_null).lower(), "rowIndex": index, "nRows": n_rows, "offset": offset, "partitions": num_partitions or _partitions(spark, source), "batchRows": batch_size, "timeAs": time_as, "periods": str(true_periods).lower(), "pushdown": str(push_filters).lower(), "files": json.dumps(files) if files else None}
     df = spark.read.format(fmt).options(**{k: v for k, v in given.items() if v is not None}).load(path)
     if time_as == "string":
         df = df.select(*[clock_text(F.col(f"`{f.name}`")).alias(f.name) if any(c.name == f.name and c.kind == "time" for c in source.columns) else F.col(f"`{f.name}`") for f in df.schema.fields])
@@ -110,6 +120,19 @@ def scan(
     return df
 
 
+def _several(path) -> list[str]:
+    """The files that a list or a pattern names, in the order of their names; nothing for a single path."""
+    if isinstance(path, list | tuple):
+        found = sorted(map(str, path))
+    elif re.search(r"[*?]", str(path)):
+        found = listed(str(path))
+    else:
+        return []
+    if not found:
+        raise ValueError(f"no file matches {path!r}")
+    return found
+
+
 def _partitions(spark: SparkSession, source) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-source.bytes_of_rows() // ds.SPLIT_BYTES))
 

@@ -55,6 +55,11 @@ class Source:
     data_at: int
     #: Whether times that no clock shows (negative, a day or more) are null; if not, times must be read as numbers.
     clip = True
+    #: Where decoding of a range of rows may begin, from :meth:`resume_at`; None is the first row.
+    resume = None
+
+    def resume_at(self, row: int):
+        return None
 
     def splits(self, n: int, start: int = 0, count: int | None = None) -> list[tuple[int, int]]:
         """About ``n`` consecutive (start, count) ranges of rows."""

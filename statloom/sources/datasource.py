@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from .base import KINDS, Source
 from .dta import Dta
+from .files import file_size
 from .por import Por
 from .sas7bdat import Sas7bdat
 from .sav import Sav
@@ -57,8 +58,11 @@ def schema_of(source: Source, names: list[str] | None, tagged: list[str], index:
 
 
 class Rows(InputPartition):
-    def __init__(self, start: int, count: int, path: str | None = None):
-        self.start, self.count, self.path = start, count, path
+    """Rows of a file; ``resume`` is where decoding may begin. With ``share`` (k, n), rows are the k-th of n parts, and the
+    task reads the file's header itself."""
+
+    def __init__(self, start: int, count: int, path: str | None = None, resume=None, share: tuple[int, int] | None = None):
+        self.start, self.count, self.path, self.resume, self.share = start, count, path, resume, share
 
 
 class _Options:
@@ -66,6 +70,7 @@ class _Options:
         flag = lambda k: str(options.get(k, "false")).lower() == "true"
         number = lambda k: int(options[k]) if options.get(k) not in (None, "") else None
         self.fmt, self.path = fmt, options.get("path")
+        self.files = json.loads(options.get("files") or "[]")
         self.columns = json.loads(options["columns"]) if options.get("columns") else None
         self.tagged = json.loads(options.get("tagged") or "[]")
         self.tag_labels = flag("tagLabels")
@@ -103,11 +108,30 @@ class Reader(DataSourceReader):
         self.fields = [(f.name, f.dataType) for f in schema.fields]
 
     def partitions(self):
+        if self.o.files:
+            sizes = [(f, max(1, -(-file_size(f) // SPLIT_BYTES))) for f in self.o.files]
+            return [Rows(0, 0, f, share=(k, n)) for f, n in sizes for k in range(n)]
         n = self.o.partitions or max(8, -(-self.source.bytes_of_rows() // SPLIT_BYTES))
-        return [Rows(a, k) for a, k in self.source.splits(n, self.o.offset, self.o.rows)] or [Rows(0, 0)]
+        found = self.source.splits(n, self.o.offset, self.o.rows)
+        return [Rows(a, k, resume=self.source.resume_at(a)) for a, k in found] or [Rows(0, 0)]
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
-        yield from decode(self.source, self.o, self.fields, self.names, partition.start, partition.count, self.filters)
+        source, start, count = self.source, partition.start, partition.count
+        if partition.share:
+            source, (k, n) = self.o.source(partition.path), partition.share
+            a, b = source.rows * k // n, source.rows * (k + 1) // n
+            start, count = a, b - a
+            _same(self.source, source, self.names)
+        source.resume = partition.resume
+        yield from decode(source, self.o, self.fields, self.names, start, count, self.filters)
+
+
+def _same(first: Source, other: Source, names: list[str]) -> None:
+    """Files read together must hold the same columns, of the same kinds."""
+    kinds = {c.name: c.kind for c in other.wanted(names)}
+    for c in first.wanted(names):
+        if kinds[c.name] != c.kind:
+            raise ValueError(f"{other.path}: {c.name!r} is of kind {kinds[c.name]}, in {first.path} of kind {c.kind}")
 
 
 def decode(source: Source, o: _Options, fields, names, start: int, count: int, filters) -> Iterator[pa.RecordBatch]:

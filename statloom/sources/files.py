@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import fnmatch
+import glob
+import os
 import re
 from typing import BinaryIO
 
@@ -44,6 +47,13 @@ def file_size(path: str) -> int:
         return f.seek(0, 2)
 
 
-def read_at(f: BinaryIO, at: int, n: int) -> bytes:
-    f.seek(at)
-    return f.read(n)
+def listed(pattern: str) -> list[str]:
+    """Files of one folder whose names match a pattern, in the order of their names."""
+    folder, _, name = pattern.rpartition("/")
+    store, at = split_uri(folder or ".")
+    if store is None:
+        return sorted(glob.glob(os.path.join(at, name)))
+    from pyarrow import fs
+
+    root = pattern[: len(pattern) - len(name) - 1]
+    return sorted(f"{root}/{f.base_name}" for f in store.get_file_info(fs.FileSelector(at)) if fnmatch.fnmatch(f.base_name, name))

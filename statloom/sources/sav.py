@@ -189,14 +189,36 @@ class Sav(Source):
     # -- rows ----------------------------------------------------------------------------------------------------------
 
     def splits(self, n, start=0, count=None):
-        """Byte codes have no row boundaries that can be found without reading them: such files are one split."""
-        return super().splits(n if self.compression == 0 else 1, start, count)
-
-    def _stream(self) -> Iterator[bytes]:
+        """Byte codes have no row boundaries that can be found without reading them. One quick pass notes where clusters
+        of codes start, and splits begin there; files with zlib blocks are one split."""
+        if self.compression == 1 and n > 1:
+            self.marks = list(self._marked(n))
+        return super().splits(n if self.compression < 2 else 1, start, count)
+
+    def _marked(self, n: int) -> Iterator[tuple[int, int]]:
+        """(cells before, place in the file) of the starts of clusters, about four for each of ``n`` splits."""
+        step = max(1, self.rows * self.record // 8 // (4 * n))
+        seen, due = 0, 0
+        for cells, at in self._cells(places=True):
+            if seen >= due:
+                yield seen, at
+                due = seen + step
+            seen += cells
+
+    def resume_at(self, row):
+        marks = getattr(self, "marks", None)
+        if not marks:
+            return None
+        return max((m for m in marks if m[0] <= row * self.record // 8), default=marks[0])
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "marks"}
+
+    def _stream(self, window: int = WINDOW) -> Iterator[bytes]:
         with open_binary(self.path) as f:
-            f.seek(self.data_at)
+            f.seek(self.resume[1] if self.resume else self.data_at)
             if self.compression != 2:
-                while b := f.read(WINDOW):
+                while b := f.read(window):
                     yield b
                 return
             _, trailer, _ = struct.unpack(self.end + "qqq", f.read(24))
@@ -206,13 +228,14 @@ class Sav(Source):
                 f.seek(at)
                 yield zlib.decompress(f.read(size))
 
-    def _cells(self) -> Iterator[np.ndarray]:
-        """Decoded 8-byte cells, some at a time. The codes of a cluster say how many raw cells follow it."""
-        rest = b""
+    def _cells(self, places: bool = False) -> Iterator:
+        """Decoded 8-byte cells, some at a time; or, with ``places``, how many there are and where their codes start. The
+        codes of a cluster say how many raw cells follow it."""
+        rest, where_at = b"", self.data_at
         number = (np.arange(256, dtype=np.float64) - self.bias).astype(self.end + "f8").view(np.uint64)
         number[254] = np.frombuffer(b" " * 8, np.uint64)[0]
         number[255] = np.frombuffer(struct.pack(self.end + "Q", SYSMIS), np.uint64)[0]
-        for chunk in self._stream():
+        for chunk in self._stream(WINDOW // 64 if places else WINDOW):
             rest += chunk
             blocks = np.frombuffer(rest, np.uint8, len(rest) // 8 * 8).reshape(-1, 8)
             step, at, heads = ((blocks == 253).sum(1) + 1).tolist(), 0, []
@@ -221,6 +244,16 @@ class Sav(Source):
                 at += step[at]
             heads = np.array(heads, np.int64)
             codes = blocks[heads]
+            if places:
+                full = codes.ravel()
+                stop = np.flatnonzero(full == 252)
+                end = int(stop[0]) if len(stop) else len(full)
+                yield int(np.count_nonzero(full[:end])), where_at
+                if len(stop):
+                    return
+                where_at += at * 8
+                rest = rest[at * 8 :]
+                continue
             raw = codes == 253
             where = heads[:, None] + np.cumsum(raw, 1)
             flat, where = codes.ravel(), where.ravel()
@@ -239,14 +272,21 @@ class Sav(Source):
         if self.compression == 0:
             with open_binary(self.path) as f:
                 return (f.seek(0, 2) - self.data_at) // max(1, self.record)
-        return sum(len(c) for c in self._cells()) * 8 // max(1, self.record)
+        cells = (n for n, _ in self._cells(places=True)) if self.compression == 1 else map(len, self._cells())
+        return sum(cells) * 8 // max(1, self.record)
 
     def records(self, start, count, step):
         if self.compression == 0:
             yield from super().records(start, count, step)
             return
         width, at, held, stop = self.record // 8, 0, np.zeros(0, np.uint64), start + count
+        if self.resume:
+            at = -(-self.resume[0] // width)
+            skip = at * width - self.resume[0]
+        else:
+            skip = 0
         for some in self._cells():
+            some, skip = some[skip:], max(0, skip - len(some))
             held = np.concatenate([held, some])
             n = len(held) // width
             block, held = held[: n * width], held[n * width :]

@@ -217,6 +217,34 @@ def test_sav(spark, tmp_path, compression, unknown):
     assert rows(statloom.scan(spark, str(path), offset=290, n_rows=5, columns=["Q2"])) == [(r[1],) for r in got[290:295]]
 
 
+def test_sav_splits_by_marks(tmp_path, monkeypatch):
+    from statloom.sources import sav
+
+    monkeypatch.setattr(sav, "WINDOW", 64 * 64)
+    path = tmp_path / "x.sav"
+    build.sav(path, VARIABLES, spss_rows(), 1)
+    whole = [b for _, block in sav.Sav(str(path)).records(0, 300, 1000) for b in block.tolist()]
+    for n in (2, 5, 50):
+        s = sav.Sav(str(path))
+        got = []
+        for a, k in s.splits(n):
+            s.resume = s.resume_at(a)
+            got += [b for _, block in s.records(a, k, 7) for b in block.tolist()]
+        assert got == whole and (n < 5 or len({m for m in s.marks}) > 4)
+
+
+def test_several_files(spark, tmp_path):
+    for k in range(3):
+        pd.DataFrame({"k": np.arange(k * 10, k * 10 + 5 + k, dtype="i4")}).to_stata(tmp_path / f"part{k}.dta", write_index=False, version=118)
+    want = [(v,) for k in range(3) for v in range(k * 10, k * 10 + 5 + k)]
+    assert sorted(rows(statloom.scan(spark, str(tmp_path / "part*.dta")))) == want
+    assert sorted(rows(statloom.scan(spark, [str(tmp_path / f"part{k}.dta") for k in range(3)]).filter("k >= 0"))) == want
+    with pytest.raises(ValueError):
+        statloom.scan(spark, str(tmp_path / "none*.dta"))
+    with pytest.raises(ValueError):
+        statloom.scan(spark, str(tmp_path / "part*.dta"), n_rows=1)
+
+
 def test_por_numbers():
     from statloom.sources.por import from_base30, to_base30
 
