@@ -1,6 +1,7 @@
 """Text quality by a naive Bayes support vector machine.
 
-Features are indicators of hashed n-grams: byte trigrams and words of a text. Each is scaled by the log ratio of its
+Features are indicators of hashed n-grams: byte trigrams and words of a text, and four-grams of whether words repeat the
+word one to four places before. Each is scaled by the log ratio of its
 smoothed counts in the two classes, rows are scaled to length 1, and a linear hinge-loss model is fitted to them by dual
 coordinate descent.
 """
@@ -24,8 +25,23 @@ TRAIN_DOCS = 8000
 EPOCHS, COST = 12, 1.0
 
 
+#: Words are compared with those so many places before, at most.
+NEAR = 4
+SIZE = (2 << BITS) + 16 * NEAR
+
+
+def _repeats(h: np.ndarray) -> list[np.ndarray]:
+    """Four-grams of repetition: for each distance, which patterns four words in a row make by equalling earlier ones."""
+    out = []
+    for d in range(1, NEAR + 1):
+        if len(h) >= d + 4:
+            r = (h[d:] == h[:-d]).astype(np.uint32)
+            out.append(np.unique(r[:-3] * 8 + r[1:-2] * 4 + r[2:-1] * 2 + r[3:]) + np.uint32((2 << BITS) + 16 * (d - 1)))
+    return out
+
+
 def features(text: bytes) -> np.ndarray:
-    """Distinct features of a text: the first 2**BITS numbers are trigrams, the next are words."""
+    """Distinct features of a text: the first 2**BITS numbers are trigrams, the next are words, the last repetitions."""
     found = []
     for a in range(0, max(len(text), 1), PIECE):
         b = np.frombuffer(text[a : a + PIECE + 2], np.uint8).astype(np.uint32)
@@ -33,14 +49,15 @@ def features(text: bytes) -> np.ndarray:
             found.append(np.unique((((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)))
     _, (h,) = words([text], SPACE)
     found.append(np.unique((h >> np.uint64(64 - BITS)).astype(np.uint32)) + np.uint32(1 << BITS))
-    return np.unique(np.concatenate(found)) if len(found) > 2 else np.concatenate(found)
+    found += _repeats(h)
+    return np.unique(np.concatenate(found)) if len(text) > PIECE else np.concatenate(found)
 
 
 class Model:
     """Weights of all features, already times their log-count ratios; a constant where one class is missing."""
 
     def __init__(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, cost: float = COST, seed: int = 7):
-        size = 2 << BITS
+        size = SIZE
         self.constant, self.ratio, self.weight, self.bias = None, np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0
         good, n = labels > 0, len(labels)
         if n == 0 or good.all() or not good.any():
