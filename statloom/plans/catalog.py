@@ -153,8 +153,8 @@ def sav_value_labels(spark, sf):
 
 
 def sav_long_strings(spark, sf):
-    path = _stored(spark, _table(spark, sf, "documents").filter("n_chars < 6000").select("doc_id", F.rtrim("text").alias("text")), "texts.sav")
-    return scan(spark, path).select(F.col("doc_id").cast("bigint"), F.sha2(F.rtrim("text"), 256).alias("digest"))
+    path = _stored(spark, _table(spark, sf, "conversations").select("conv_id", "turn", "text"), "talk.sav")
+    return scan(spark, path).select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.sha2(F.rtrim("text"), 256).alias("digest"))
 
 
 def por_roundtrip_nation(spark, sf):
@@ -264,7 +264,7 @@ ORACLE = {
     "sav_roundtrip_events": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id, event_type, value, props FROM events",
     "zsav_roundtrip_part": "SELECT p_name, p_size, p_retailprice FROM part",
     "sav_value_labels": "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'zero' WHEN 2 THEN 'two' ELSE CAST(n_regionkey AS VARCHAR) END AS n_regionkey FROM nation",
-    "sav_long_strings": "SELECT doc_id, sha256(rtrim(text, ' ')) AS digest FROM documents WHERE n_chars < 6000",
+    "sav_long_strings": "SELECT conv_id, turn, sha256(rtrim(text, ' ')) AS digest FROM conversations",
     "por_roundtrip_nation": "SELECT n_nationkey AS NATKEY, n_name AS NAME, n_regionkey AS REGION FROM nation",
     "por_roundtrip_orders": "SELECT o_orderkey AS KEY, o_totalprice AS PRICE, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS DAY FROM orders",
     "sas_csv_bundle_lineitem": "SELECT l_orderkey, l_linenumber, l_returnflag, CAST(datediff('day', DATE '1960-01-01', CAST(l_shipdate AS DATE)) AS INT) AS l_shipdate, epoch_us(l_shipdate) / 1e6 + 315619200.0 AS l_shiptime FROM lineitem",

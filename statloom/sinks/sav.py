@@ -16,6 +16,7 @@ from ..sources.sav import ALIGNMENTS, FORMAT_NAMES, MEASURES, SYSMIS
 from .encode import numbers, padded, plain, stats
 from .parts import Parts
 
+MOST_BYTES = 32_767
 TYPES = {v: k for k, v in FORMAT_NAMES.items()}
 
 
@@ -24,6 +25,8 @@ class Plan:
         self.name, self.kind, self.short = field.name, field.dataType, short
         self.text = isinstance(self.kind, T.StringType)
         self.width = max(1, seen[field.name][0] or 0) if self.text else 0
+        if self.width > MOST_BYTES:
+            raise ValueError(f"column {self.name!r} holds a text of {self.width} bytes; SPSS files have room for {MOST_BYTES}")
         self.format = (1, min(self.width, 255), 0) if self.text else (20, 11, 0) if isinstance(self.kind, T.DateType) else (22, 20, 0) if isinstance(self.kind, T.TimestampNTZType) else (21, 8, 0) if isinstance(self.kind, T.TimeType) else (5, 8, 2)
 
     def segments(self) -> list[int]:
