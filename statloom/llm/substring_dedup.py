@@ -1,7 +1,7 @@
 """Substring dedup by a log-structured fingerprint index.
 
 A window is ``WINDOW`` consecutive words of a document. The index holds the windows of all documents seen so far as a
-sorted immutable run for each range of hashes: a 64-bit fingerprint that orders the run, and an independent 32-bit
+sorted immutable run for each range of hashes: a 64-bit fingerprint that orders the run, and an independent 24-bit
 checksum by which a match is verified. A new batch's windows are sorted, dealt out by range and merge-joined with the
 range's run and with one another; the same pass writes the compacted run that takes the old one's place. What comes back
 to a bundle of documents is one bit for each of its windows.
@@ -28,6 +28,8 @@ from .common import dropped, table, written
 from .textvec import chunks, grams, words
 
 WINDOW, PER_RANGE, BATCHES = 13, 1 << 20, 3
+#: Bits of the checksum that verifies a fingerprint of 64.
+CHECK_BITS = 24
 U = np.uint64
 
 
@@ -48,7 +50,7 @@ class Windows:
             own = np.repeat(np.arange(a, b, dtype=np.int32), n)
             if len(p) >= window:
                 full = np.flatnonzero(own[: len(own) - window + 1] == own[window - 1 :])
-                h.append(grams(p, window)[full]), c.append((grams(q, window)[full] >> U(32)).astype(np.uint32))
+                h.append(grams(p, window)[full]), c.append((grams(q, window)[full] >> U(64 - CHECK_BITS)).astype(np.uint32))
                 at.append(full + base), doc.append(own[full])
             base += len(p)
         self.counts, self.window, self.total = np.concatenate(counts) if counts else np.zeros(0, int), window, base
