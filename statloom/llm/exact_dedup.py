@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, dropped, table, text_of, written
+from .common import WHITE, dropped, table, written
 
 BLOCK_BYTES = 2048
 
@@ -46,17 +46,17 @@ def _local_names(block_bytes: int):
     return run
 
 
-def identities(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
-    """One row for each row of ``docs``: the columns ``carry``, then ``text_sha256``, ``level`` and ``name``.
+def identities(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with a number each, written, as (row_number, row, text_sha256); and (row_number, level, name).
 
     (level, name) is the identity of the normalised text: each run of ASCII white space as one space, null as empty.
-    Empty texts are one block of no bytes and equal one another. Rows are told apart by an internal number, so repeated
+    Empty texts are one block of no bytes and equal one another. Rows are told apart by their number, so repeated
     ids, repeated rows and null ids each keep their own row. An empty table gives an empty result.
     """
-    carry = carry if carry is not None else docs.columns
-    norm = F.regexp_replace(text_of(docs, text), WHITE, " ")
-    rows = written(docs.select(F.monotonically_increasing_id().alias("_uid"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)], F.sha2(norm, 256).alias("_sha"), norm.cast("binary").alias("_norm")), "dedup-rows")
-    cut = written(rows.select("_uid", "_norm").mapInArrow(_local_names(block_bytes), "uid long, pos int, rep long, block binary"), "dedup-blocks")
+    norm = lambda t: F.regexp_replace(F.coalesce(t.cast("string"), F.lit("")), WHITE, " ")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row_number"), row, F.sha2(norm(docs[text]), 256).alias("text_sha256")), "dedup-rows")
+    cut = written(rows.select("row_number", norm(F.col("row")[text]).cast("binary").alias("norm")).mapInArrow(_local_names(block_bytes), "uid long, pos int, rep long, block binary"), "dedup-blocks")
     # the blocks' names: the smallest number in each run of equal blocks
     same = Window.partitionBy("block")
     named = cut.filter("block is not null").select("rep", F.min("rep").over(same).alias("name"))
@@ -73,8 +73,17 @@ def identities(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYT
         done = done.unionByName(work.filter("last = 0").select("uid", F.lit(k).alias("level"), "name"))
         work = work.filter("last > 0").drop("last")
         dropped(pair, names)
-    out = rows.drop("_norm").join(done, rows["_uid"] == done["uid"])
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], F.col("_sha").alias("text_sha256"), "level", "name", F.col("_uid").alias("row_number"))
+    return rows, done.withColumnRenamed("uid", "row_number")
+
+
+def _grouped(docs: DataFrame, id_col: str, text: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The numbered rows; and for each number its document's id, that of the row that stays, the group's size and which
+    row stays."""
+    rows, named = identities(docs, text, block_bytes)
+    ids = written(rows.select("row_number", F.col("row")[id_col].alias("doc_id"), "text_sha256").join(named, "row_number"), "dedup-ids")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("row_number").alias("row")))
+    groups = ids.groupBy("level", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return rows, ids.join(groups, ["level", "name"]).select("row_number", "doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row_number") == F.col("best.row")).alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -83,19 +92,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", blo
     Of equal texts the row with the smallest id stays (null ids come after all others; of several rows with that same
     id, one stays, the first read). ``keep_id`` is null only where all ids of the group are null.
     """
-    ids = written(identities(docs, text, block_bytes, [id_col]).withColumnRenamed(id_col, "doc_id"), "dedup-ids")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("row_number").alias("row")))
-    groups = ids.groupBy("level", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return ids.join(groups, ["level", "name"]).select("doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row_number") == F.col("best.row")).alias("kept"), "text_sha256")
+    rows, found = _grouped(docs.select(docs[id_col], docs[text]), id_col, text, block_bytes)
+    dropped(rows)
+    return found.drop("row_number")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were."""
-    kept = exact_dedup(docs, id_col, text).filter("kept").select(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s"))
-    norm = F.sha2(F.regexp_replace(text_of(docs, text), WHITE, " "), 256)
-    found = docs.withColumn("_sha", norm).join(kept, F.col(id_col).eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_s")), "left_semi")
-    # rows repeated with one id and one text are copies of one another too
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "_sha").orderBy(F.lit(1)))).filter("_n = 1").drop("_n", "_sha")
+    rows, found = _grouped(docs, id_col, text, block_bytes)
+    return rows.join(found.filter("kept").select("row_number"), "row_number", "left_semi").select("row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

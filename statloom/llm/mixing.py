@@ -64,6 +64,17 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "copies", (F.col("low") - F.when(F.col("over"), 0).otherwise(1)).alias("threshold"))
 
 
+def planned(docs: DataFrame, id_col: str, text: str, source: str, cap: float) -> tuple[DataFrame, DataFrame]:
+    """The sizes of all rows, and the thresholds: a row a source, so small enough to send to all tasks."""
+    size = F.size(F.regexp_extract_all(text_of(docs, text), F.lit(WORD), F.lit(0))).cast("long")
+    sized = written(docs.select(docs[id_col].alias("doc_id"), docs[source].cast("string").alias("source"), hash_of(docs[id_col]).alias("hash"), size.alias("size")), "mix-sizes")
+    return sized, thresholds(sized, targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap)).withColumnRenamed("source", "s")
+
+
+def _copies(value_hash: Column) -> Column:
+    return (F.col("copies") + F.when((value_hash <= F.col("threshold")) & (F.col("source_size") > 0), 1).otherwise(0)).cast("int")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", cap: float = 3.0) -> DataFrame:
     """One row for each row of ``docs``: doc_id, size, source_size, target, taken (and source, copies).
 
@@ -71,19 +82,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     without words have target 0. An empty table gives an empty result. The number of sources must fit one task: one
     row a source is ranked there.
     """
-    size = F.size(F.regexp_extract_all(text_of(docs, text), F.lit(WORD), F.lit(0))).cast("long")
-    sized = written(docs.select(docs[id_col].alias("doc_id"), docs[source].cast("string").alias("source"), hash_of(docs[id_col]).alias("hash"), size.alias("size")), "mix-sizes")
-    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap)
-    found = thresholds(sized, plan).withColumnRenamed("source", "s")
-    copies = F.col("copies") + F.when((F.col("hash") <= F.col("threshold")) & (F.col("source_size") > 0), 1).otherwise(0)
-    return sized.join(F.broadcast(found), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source", copies.cast("int").alias("copies"))
-
-
-def repeat_mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns as they were."""
-    n = mix(docs, id_col, text, source).select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("copies").alias("_n")).distinct()
-    joined = docs.join(n, F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source).cast("string").eqNullSafe(F.col("_s")))
-    return joined.withColumn("_r", F.explode(F.expr("array_repeat(1, _n)"))).select(*[docs[c] for c in docs.columns])
+    sized, found = planned(docs, id_col, text, source, cap)
+    n = _copies(F.col("hash"))
+    return sized.join(F.broadcast(found), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"), "source", n.alias("copies"))
+
+
+def repeat_mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", cap: float = 3.0) -> DataFrame:
+    """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns as they were. Texts don't move: a row's
+    own id and source say how often it is taken."""
+    _, found = planned(docs, id_col, text, source, cap)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), hash_of(docs[id_col]).alias("hash"), docs[source].cast("string").alias("source"))
+    joined = rows.join(F.broadcast(found), F.col("source").eqNullSafe(F.col("s"))).select("row", F.explode(F.array_repeat(F.lit(1), _copies(F.col("hash")))).alias("one"))
+    return joined.select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
