@@ -4,7 +4,8 @@ Unit vectors within a cosine of at least ``threshold`` are at most r = sqrt(2 -
 them: a vector's home cell is that of its nearest pivot (and its label). A vector within r of one whose home is another
 cell lies within r of the plane between the two pivots, and, by the triangle inequality, within r of the cell's range of
 distances to its own pivot; it is copied to each cell of which both hold. So every vector's home cell holds all its
-partners, and cells join independently, as products of blocks of bounded size.
+partners, and cells join independently, as products of blocks of bounded size. Both tests compare squares and allow for
+their rounding: 2 - 2cos says nothing of pivots a few rounding errors apart, and a root or quotient of it even less.
 
 Equal vectors of a label are one row that counts as many. No pair is emitted: a block returns each vector's number of
 partners and links that connect its groups.
@@ -25,7 +26,8 @@ from .components import components
 from .trie import Union
 
 THRESHOLD, BLOCK, PER_PIVOT, MOST_PIVOTS = 0.98, 2048, 2048, 1024
-SLACK = 1e-9
+#: More than the rounding errors of a few squared distances 2 - 2cos add up to, in up to a thousand dimensions.
+ERROR = 1e-12
 
 
 def _unit(raw: list) -> np.ndarray:
@@ -33,16 +35,24 @@ def _unit(raw: list) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1))[:, None]
 
 
-def _distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (m @ pivots.T)))
+def _squares(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return 2.0 - 2.0 * (m @ pivots.T)
+
+
+def _root(squares: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, squares))
 
 
 def _homes(pivots):
+    """(home, low, high): the range of a batch's squared distances, for each pivot that may be nearest to a vector."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = _distances(_unit(batch.column(1).to_pylist()), pivots.value)
-            home = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(home, pa.int32()), pa.array(d[np.arange(len(d)), home])], ["cid", "home", "d"])
+            d = _squares(_unit(batch.column(1).to_pylist()), pivots.value)
+            may = d <= d.min(1)[:, None] + ERROR
+            home = np.flatnonzero(may.any(0))
+            low, high = np.where(may, d, np.inf).min(0), np.where(may, d, -np.inf).max(0)
+            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(low[home]), pa.array(high[home])], ["home", "low", "high"])
 
     return run
 
@@ -52,14 +62,14 @@ def _cells(pivots, ranges, radius: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, (low, high) = pivots.value, ranges.value
-        apart = _distances(p, p)
-        np.fill_diagonal(apart, 1.0)
+        # differences of the pivots, as 2 - 2cos loses distances below about 1e-8
+        apart = np.array([np.sqrt(((p - q) ** 2).sum(1)) for q in p])
+        low, high = _root(low - ERROR) - radius, _root(high + ERROR) + radius
         for batch in batches:
-            d = _distances(_unit(batch.column(1).to_pylist()), p)
+            d = _squares(_unit(batch.column(1).to_pylist()), p)
             home = d.argmin(1)
             mine = d[np.arange(len(d)), home]
-            plane = (d**2 - mine[:, None] ** 2) / (2 * np.maximum(apart[home], 1e-12))
-            near = (plane <= radius + SLACK) & (d <= high + radius + SLACK) & (d >= low - radius - SLACK)
+            near = (d - mine[:, None] <= 2 * radius * apart[home] + ERROR) & (_root(d - ERROR) <= high) & (_root(d + ERROR) >= low)
             near[np.arange(len(d)), home] = True
             row, col = np.nonzero(near)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(col, pa.int32()), pa.array(home[row] == col)], ["cid", "pivot", "home"])
@@ -112,12 +122,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "e
         k = min(MOST_PIVOTS, -(-n // PER_PIVOT))
         chosen = some.orderBy(F.xxhash64("embedding"), "cid").select("unit").limit(k).collect()
         pivots = spark.sparkContext.broadcast(_unit([r["unit"] for r in chosen]))
-        homes = some.select("cid", F.col("unit").alias("embedding")).mapInArrow(_homes(pivots), "cid long, home int, d double").groupBy("home").agg(F.min("d").alias("low"), F.max("d").alias("high")).collect()
+        homes = some.select("cid", F.col("unit").alias("embedding")).mapInArrow(_homes(pivots), "home int, low double, high double").groupBy("home").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
         low, high = np.full(k, np.inf), np.full(k, -np.inf)
         for r in homes:
             low[r["home"]], high[r["home"]] = r["low"], r["high"]
         ranges = spark.sparkContext.broadcast((low, high))
-        radius = float(np.sqrt(2.0 - 2.0 * threshold))
+        radius = float(np.sqrt(2.0 - 2.0 * threshold + ERROR))
         cells = some.select("cid", F.col("unit").alias("embedding")).mapInArrow(_cells(pivots, ranges, radius), "cid long, pivot int, home boolean")
         cells = written(cells.join(some.select("cid", "space", F.col("unit").alias("embedding"), "n"), "cid"), "vector-cells")
         size = cells.groupBy("space", "pivot").agg(F.ceil(F.count_if("home") / BLOCK).cast("long").alias("home_blocks"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).filter("home_blocks > 0")

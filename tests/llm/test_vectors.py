@@ -48,6 +48,22 @@ def test_embedding_join(spark, monkeypatch):
     assert embedding_join.near_vectors(df.filter("false")).count() == 0
 
 
+def test_embedding_join_of_pivots_close_together(spark, monkeypatch):
+    monkeypatch.setattr(embedding_join, "PER_PIVOT", 20)
+    r = np.random.default_rng(7)
+    hot = r.normal(size=8)
+    hot /= np.linalg.norm(hot)
+    points = [hot + r.normal(size=8) * s for s in (1e-10, 1e-9, 1e-8) for _ in range(70)]
+    for _ in range(390):  # about as far from the group as links reach
+        side = r.normal(size=8)
+        side -= (side @ hot) * hot
+        points.append(hot + side / np.linalg.norm(side) * r.uniform(0.05, 0.35))
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = sorted((str(x["vec_id"]), x["n_links"], str(x["component_id"])) for x in embedding_join.near_vectors(df).collect())
+    assert found == brute(rows)
+
+
 def test_components(spark):
     r = random.Random(5)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1200)] + [(5000, 5000)]
