@@ -171,14 +171,9 @@ def class_links(classes: DataFrame) -> DataFrame:
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, class_id.
-
-    Documents whose sets of five-word shingles have a Jaccard similarity of 3/4 or more link; component_id is the smallest
-    id that links reach. A text of fewer words is one shingle; one without words (or null) links with nothing. Rows
-    with equal sets link, repeated rows too; null ids don't count as smallest unless there is no other. class_id numbers
-    the distinct sets, null for empty ones. An empty table gives an empty result.
-    """
+def _grouped(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows' ids, hashes of id and text, and digests of their sets; and the classes of equal sets, each with its first
+    row's id and hash and the component that links put it in."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     ids = written(rows.select("doc_id", id_text_hash(rows["doc_id"], rows["text"]).alias("th"), "text").mapInArrow(_digests, "doc_id long, th long, n_shingles long, digest binary"), "join-ids")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("first")
@@ -188,16 +183,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     texts = texts.join(classes.select("th", F.col("doc_id").alias("_first"), "class_id"), "th").filter(F.col("doc_id").eqNullSafe(F.col("_first"))).select("class_id", "text")
     links = written(class_links(written(texts, "join-texts")), "join-links")
     parts = components(links).withColumnRenamed("node", "class_id")
-    joined = classes.join(parts, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    return ids, classes.join(parts, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, class_id.
+
+    Documents whose sets of five-word shingles have a Jaccard similarity of 3/4 or more link; component_id is the smallest
+    id that links reach. A text of fewer words is one shingle; one without words (or null) links with nothing. Rows
+    with equal sets link, repeated rows too; null ids don't count as smallest unless there is no other. class_id numbers
+    the distinct sets, null for empty ones. An empty table gives an empty result.
+    """
+    ids, joined = _grouped(docs, id_col, text)
     named = joined.select("component", "digest", "class_id").join(joined.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("digest", "class_id", "component_id")
     out = ids.join(named, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of linked documents, that with the smallest id; columns as they were."""
-    best = near_duplicates(docs, id_col, text).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(best, docs[id_col].cast("long").eqNullSafe(F.col("_k")), "left_semi")
+    """``docs`` with one row of each group of linked documents, that with the smallest id; columns as they were.
+
+    Null ids come after all others; of rows with that same id, that with the smallest hash of id and text stays, and one of
+    rows that have both in common. Rows without words link with nothing, so all of them stay.
+    """
+    ids, classes = _grouped(docs, id_col, text)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("first")
+    heads = classes.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_k"), F.col("first.th").alias("_h"))
+    again = ids.filter("digest is not null").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    heads = heads.join(again, (F.col("_h") == F.col("th")) & F.col("_k").eqNullSafe(F.col("doc_id")), "left").select("_k", "_h", F.col("n").isNotNull().alias("_again"))
+    best = written(heads.unionByName(ids.filter("digest is null").select(F.col("doc_id").alias("_k"), F.col("th").alias("_h"), F.lit(False).alias("_again")).distinct()), "join-best")
+    own, words = docs[id_col].cast("long"), text_of(docs, text)
+    of = lambda keys: docs.join(keys, (id_text_hash(own, words) == F.col("_h")) & own.eqNullSafe(F.col("_k")), "left_semi")
+    once, several = of(best.filter("not _again")), best.filter("_again")
+    if several.isEmpty():
+        return once
+    one = of(several).groupBy(own, words).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("_row")).select("_row.*")
+    return once.unionByName(one)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,16 @@ def test_jaccard_join(spark, monkeypatch, small_blocks):
     assert jaccard_join.near_duplicates(cases.empty(spark)).count() == 0
 
 
+def test_keep_one_by_rows(spark):
+    texts = [cases.prose(200, k).split(" ") for k in range(4)]
+    copy = lambda k, at: " ".join([*texts[k][:at], "changed", *texts[k][at + 1 :]])
+    rows = [(None, copy(0, 10)), (None, copy(0, 50)), (None, copy(0, 90)), (None, copy(1, 10)), (5, copy(1, 50)), (4, copy(1, 90)), (7, copy(2, 10)), (7, copy(3, 10)), (6, copy(3, 50)), (None, copy(2, 50))]
+    rows += [(8, cases.prose(50, 9))] * 2 + [(None, "")] * 2 + [(9, None)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = sorted(r["n"] for r in jaccard_join.keep_one(df).collect())
+    assert kept[0] in (0, 1, 2) and kept[1:4] == [5, 6, 8] and kept[4] in (10, 11) and kept[5:] == [12, 13, 14]
+
+
 def test_jaccard_boundary(spark):
     a = [f"w{i}" for i in range(104)]
     texts = [a, a[:79], a[:78], a[:75] + ["x"] * 4, ["q"] + a]  # 100 shingles; 75 of 100 link, 74 don't
