@@ -169,19 +169,23 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", train_doc
     return Model(counts.toPandas())
 
 
+def _lettered(texts: list[str]) -> np.ndarray:
+    import regex
+
+    letter = regex.compile(r"\p{L}")
+    return np.array([bool(letter.search(t)) for t in texts], bool)
+
+
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
         model: Model = shared.value
-        letter = regex.compile(r"\p{L}")
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             bits = model.lengths(texts)
             best = bits.argmin(1)
             with np.errstate(over="ignore", under="ignore"):
                 share = 1.0 / np.exp2(np.clip(bits.min(1)[:, None] - bits, -1000, 0)).sum(1)
-            known = np.array([bool(model.langs) and bool(letter.search(t)) for t in texts], bool)
+            known = _lettered(texts) & bool(model.langs)
             size = np.array([max(1, len(t)) for t in texts])
             pred = [model.langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(bits.min(1) / size)], ["row", "lang_pred", "score", "bits"])
@@ -211,7 +215,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is undetermined, columns as they were."""
+    """``docs`` without the rows whose language is undetermined, columns as they were.
+
+    Those are the rows whose text has no letter, whatever the model says; so they are all that goes if it knows no language.
+    """
     model = train(docs.filter(~held_out(docs[id_col], 5, 0)), text, lang, key=id_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
@@ -220,6 +227,9 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         judge = _predict(shared)
         k = names.index(text)
         for batch in batches:
+            if not shared.value.langs:
+                yield batch.filter(pa.array(_lettered([t or "" for t in batch.column(k).cast(pa.string()).to_pylist()])))
+                continue
             asked = pa.RecordBatch.from_arrays([batch.column(k), batch.column(k)], ["row", "text"])
             verdict = next(judge(iter([asked]))).column(1)
             yield batch.filter(pc.not_equal(verdict, "und"))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import pytest
+from pyspark.sql import functions as F
 
 from statloom.llm import exact_dedup, jaccard_join, language_id, licenses, mixing, packing, pii, quality, substring_dedup
 from statloom.llm.common import table
@@ -269,6 +270,12 @@ def test_language_id(spark):
     assert language_id.keep_identified(cases.empty(spark)).count() == 0
 
 
+def test_language_stage_without_languages(spark):
+    df = cases.frame(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = language_id.keep_identified(df).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter((r[0], r[1]) for r in cases.rows() if re.search("[a-zé]", r[1] or ""))
+
+
 def test_quality(spark):
     docs, labels = table(spark, cases.SF, "documents"), table(spark, cases.SF, "labels")
     model = quality.train(docs, labels.filter(~language_id.held_out(labels["doc_id"], 3, 1)))
