@@ -1,10 +1,10 @@
 """Licence scans by a positional rare-token index.
 
-Every template is a sequence of words. Its rarest words, by their document frequency over the whole corpus, are its
-anchors; an index maps each anchor to the templates and places where it stands. A file's anchors propose alignments
-(their place less the anchor's place in the template); proposals that several anchors share come first, and one counts
-if the template's mandatory phrases stand at their places and enough of its other words do. Templates of a single phrase
-are wholly mandatory, so every place where such a phrase stands is found, from its rarest word.
+Every template is a sequence of words, and an index holds all of them with their places. A template's anchors in a file
+that has all its mandatory words are the rarest, by document frequency over the whole corpus, of its words that the file
+has, and the rarest of each mandatory phrase. They propose alignments (their place less the anchor's place in the
+template); proposals that several anchors share come first, and one counts if the template's mandatory phrases stand at
+their places and enough of its other words do. No place where they all stand is missed, as their rarest words propose it.
 """
 
 from __future__ import annotations
@@ -57,21 +57,35 @@ class Index:
     def __init__(self, frequency: dict[bytes, int], documents: int):
         self.templates = [(label, True, *_parse(f"[{p}]")) for p, label in PHRASES.items()] + [(label, False, *_parse(t)) for label, t in TEMPLATES.items()]
         self.idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for t in self.templates for w in t[2]}
-        self.post: dict[bytes, list[tuple[int, int]]] = {}
-        for k, (_, base, own, _) in enumerate(self.templates):
-            for w in sorted(set(own), key=lambda w: (-self.idf[w], w))[: 1 if base else ANCHORS]:
-                for j, x in enumerate(own):
-                    if x == w:
-                        self.post.setdefault(w, []).append((k, j))
+        self.places: list[dict[bytes, list[int]]] = []
+        self.ranked, self.rarest, self.musts = [], [], []
+        for _, _, own, must in self.templates:
+            rank = lambda w: (-self.idf[w], w)
+            self.places.append({w: [j for j, x in enumerate(own) if x == w] for w in set(own)})
+            self.ranked.append(sorted(set(own), key=rank))
+            self.rarest.append({min(own[m.start : m.stop], key=rank) for m in must})
+            self.musts.append(frozenset(w for m in must for w in own[m.start : m.stop]))
+        self.vocabulary = frozenset(self.idf)
+
+    def _anchors(self, have: frozenset[bytes]) -> dict[bytes, list[tuple[int, int]]]:
+        """The anchors of a file with these words, and the templates and places where they stand."""
+        post: dict[bytes, list[tuple[int, int]]] = {}
+        for k, must in enumerate(self.musts):
+            if must <= have:
+                most = 1 if self.templates[k][1] else ANCHORS
+                for w in self.rarest[k].union([w for w in self.ranked[k] if w in have][:most]):
+                    post.setdefault(w, []).extend((k, j) for j in self.places[k][w])
+        return post
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """Places and labels of the base phrases, in order; labels with the best share of a template's words."""
-        if self.post.keys().isdisjoint(words):
+        post = self._anchors(self.vocabulary.intersection(words))
+        if not post:
             return [], {}
         votes: Counter[tuple[int, int]] = Counter()
         for i, w in enumerate(words):
-            if w in self.post:
-                votes.update((k, i - j) for k, j in self.post[w])
+            if w in post:
+                votes.update((k, i - j) for k, j in post[w])
         base, found = set(), {}
         for (k, at), _ in votes.most_common():
             label, phrase, own, must = self.templates[k]

@@ -190,6 +190,13 @@ def test_licenses(spark):
     assert labels[100] == "mit" and labels[105] == "" and licenses.scan(cases.empty(spark)).count() == 0
 
 
+def test_licenses_cut_alike(spark):
+    cut = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    rows = [(1, cut), (2, cut), (3, "Redistribution and use in source and binary forms"), (4, "source forms are permitted " * 9), (5, f"as provided: {cut} provided")]
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: ("bsd", 14 / 21), 2: ("bsd", 14 / 21), 3: ("", 0.0), 4: ("", 0.0), 5: ("bsd", 15 / 21)}
+
+
 def test_packing(spark):
     import numpy as np
     from tokenizers import Tokenizer
