@@ -3,6 +3,9 @@
 DataFrame functions only. For each kind the text is split by the kind's pattern; the pieces between the matches and the
 matches give every match's place by a running sum of their lengths. The patterns are written so that no text makes them
 slow: a run of characters is entered only at its start or where the last match ended, and loops don't backtrack.
+
+An account number's match is only its first four characters; what may follow is looked ahead at. Of the places where a
+word ends there, the number ends at the one of its country's length if the checksum holds, else at the last where it does.
 """
 
 from __future__ import annotations
@@ -18,10 +21,16 @@ KINDS = {
     "ip": (r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", ".", 0.6, r"\bip\b|host|server|address"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", "", 0.8, r"card|visa|master|credit|pay"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, r"phone|tel|call|mobile|fax"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "", 0.8, r"iban|account|bank|konto"),
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9]))", "", 0.8, r"iban|account|bank|konto"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, r"\bssn\b|social|security"),
 }
 BASE = ("email", "ip", "card", "phone")
+#: The countries' lengths of account numbers.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 CONTEXT_CHARS, BOOST, LEAST = 40, 0.3, 0.5
 
 
@@ -46,12 +55,18 @@ def _valid(kind: str, m: Column) -> Column:
         return F.when((n < 12) | (n > 19), False).otherwise(F.call_function("luhn_check", _digits(m)))
     if kind == "phone":
         return (n >= 9) & (n <= 15)
-    if kind == "iban":
-        size = F.length(F.regexp_replace(m, " ", ""))
-        return F.when((size < 15) | (size > 34), False).otherwise(_mod97(m))
     return F.lit(True)
 
 
+def _account_end(m: Column) -> Column:
+    """Where in ``m`` the account number ends that starts there; null if none does."""
+    size = lambda k: F.length(F.regexp_replace(F.substring(m, F.lit(1), k), " ", ""))
+    ends = F.filter(F.sequence(F.lit(15), F.length(m)), lambda k: F.substring(m, k + 1, F.lit(1)).isin("", " ") & (size(k) >= 15) & (size(k) <= 34))
+    fine = F.filter(ends, lambda k: _mod97(F.substring(m, F.lit(1), k)))
+    sizes = F.create_map(*[F.lit(x) for n, names in IBAN_SIZES.items() for c in names.split() for x in (c, n)])
+    return F.coalesce(F.array_max(F.filter(fine, lambda k: size(k) == sizes[F.substring(m, 1, 2)])), F.array_max(fine))
+
+
 def _spans(text: Column, kind: str, order: int) -> Column:
     """array<struct<start, order, end, kind, score, value>> of the valid matches of one kind."""
     pattern, needs, score, words = KINDS[kind]
@@ -59,15 +74,21 @@ def _spans(text: Column, kind: str, order: int) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     pairs = F.zip_with(values, F.slice(between, 1, F.size(values)), lambda m, s: F.struct(m.alias("m"), s.alias("s")))
+    if kind == "iban":
+        rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        pairs = F.zip_with(pairs, F.transform(F.arrays_zip(values.alias("m"), rest.alias("r")), lambda x: _account_end(F.concat(x["m"], x["r"]))), lambda x, n: F.struct(x["m"].alias("m"), x["s"].alias("s"), n.alias("n")))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["s"])
-        end = start + F.length(x["m"])
+        past = start + F.length(x["m"])
+        end = start + x["n"] if kind == "iban" else past
         near = F.when(F.lower(F.right(x["s"], F.lit(CONTEXT_CHARS))).rlike(words), F.lit(BOOST)).otherwise(0.0)
         sure = F.least(F.lit(score) + near, F.lit(1.0))
         good = _valid(kind, x["m"]) if kind in BASE else _valid(kind, x["m"]) & (sure >= LEAST)
+        if kind == "iban":  # not within the one before
+            good = x["n"].isNotNull() & (sure >= LEAST) & (start >= F.coalesce(F.try_element_at(acc["spans"], F.lit(-1))["end"], F.lit(0)))
         span = F.struct(start.alias("start"), F.lit(order).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), sure.alias("score"))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).cast(kind_of).alias("spans"))
+        return F.struct(past.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).cast(kind_of).alias("spans"))
 
     empty = F.array().cast(kind_of)
     found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda acc: acc["spans"])

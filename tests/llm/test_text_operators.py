@@ -172,6 +172,14 @@ def test_pii(spark):
     assert pii.find(cases.empty(spark)).count() == 0 and pii.find(cases.frame(spark)).count() == len(cases.rows())
 
 
+def test_account_numbers_before_words(spark):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"{de} BIC X", f"to {de} {gb} 2024", f"AB12 CD34 {gb}", f"{de}X {gb.replace(' ', '')} EUR 100", "DE88 3704 0044 0532 0130 00 BIC"]
+    want = [[(0, 27)], [(3, 30), (31, 58)], [(10, 37)], [(29, 51)], []]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [[(s["start"], s["end"]) for s in r["found"] if s["kind"] == "iban"] for r in sorted(found)] == want
+
+
 def brute_phrases(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     hits = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
