@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,15 @@ def bundled(docs: DataFrame, id_col: str, text: str, size: int = BUNDLE_BYTES) -
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def ranges(h: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
+    """(range, start, end) of the ranges of leading bits that sorted hashes ``h`` have; only those."""
+    if not len(h):
+        return []
+    r = h >> np.uint64(shift)
+    start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    return list(zip(r[start].tolist(), start.tolist(), [*start[1:].tolist(), len(h)], strict=True))
+
+
 def range_bits(docs: DataFrame, text: str, per_range: int) -> int:
     """So many leading bits of a hash that a range of hashes has about ``per_range`` words of the corpus."""
     size = docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0

@@ -5,13 +5,18 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: bytes that a Python worker gets at a time, and bytes of a row group that a reader decodes.
+BATCH_BYTES, ROW_GROUP_BYTES = 4 << 20, 16 << 20
+_NOTED: ContextVar[list | None] = ContextVar("noted", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,37 +24,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``. Where that is unset, a local one with a local
+    master; an error on a cluster, whose machines wouldn't see one another's files."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='statloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/statloom-{spark.sparkContext.applicationId}"
 
 
 @contextlib.contextmanager
-def shuffle_files_dropped(spark: SparkSession):
-    """Within, Spark removes a query's shuffle files when the query ends instead of when the driver collects garbage."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Within, the session has these settings."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors. Removed when the
-    application ends, or earlier by :func:`dropped`."""
+    application ends, or earlier by :func:`dropped` or the end of a :func:`scratch` scope.
+
+    Shuffle files go when the query ends, not when the driver collects garbage; Python workers get small batches; row
+    groups are small, because a reader decodes one whole and rows may hold megabytes.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    with shuffle_files_dropped(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}):
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._statloom_path = path
+    if (noted := _NOTED.get()) is not None:
+        noted.append(out)
     return out
 
 
@@ -62,6 +78,37 @@ def dropped(*frames: DataFrame) -> None:
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """On leaving, tables written within are deleted, but for those given to the function that this yields."""
+    outer, mine, kept = _NOTED.get(), [], []
+    token = _NOTED.set(mine)
+    try:
+        yield lambda *frames: kept.extend(frames)
+    finally:
+        _NOTED.reset(token)
+        dropped(*[df for df in mine if not any(df is k for k in kept)])
+        if outer is not None:
+            outer.extend(kept)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows as Python values, one at a time, so that a batch of large rows isn't held twice."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield tuple(c[k].as_py() for c in batch.columns)
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], salt: Column, salts: int = 64) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row a key, such that a key's rows are dealt to ``salts`` tasks.
+
+    Facts are repeated only for the salts that a key's rows have: no more rows than ``rows`` has, and at most ``salts`` a
+    key. Rows whose key ``facts`` lacks go. Keys aren't null.
+    """
+    salted = rows.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
+    return salted.join(salted.select(*keys, "_salt").distinct().join(facts, keys), [*keys, "_salt"]).drop("_salt")
+
+
 def text_of(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(df[text].cast("string"), F.lit(""))
 
@@ -71,10 +118,6 @@ def id_text_hash(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     have = {c.lower() for c in df.columns}

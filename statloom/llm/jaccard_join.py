@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import planes, squeeze, unplanes, unsqueeze
-from .bundles import bundled, range_bits
-from .common import dropped, id_text_hash, table, text_of, written
+from .bundles import bundled, range_bits, ranges
+from .common import dropped, fresh, id_text_hash, rows_of, scratch, spread_join, table, text_of, written
 from .components import components
 from .textvec import shingle_sets
 from .trie import spanning_links
@@ -37,6 +37,8 @@ WORDS, PER_RANGE = 5, 1 << 20
 #: Shingles of a block of a cluster, of the work that one task gets at a time, and sets that all blocks share.
 BLOCK_SHINGLES, TASK_SHINGLES, SHARED_SETS = 4 << 20, 4 << 20, 64
 FREQ_BITS = 48
+#: Shingles of the sets that a task returns at a time.
+BATCH_SHINGLES = 1 << 17
 U = np.uint64
 
 
@@ -58,19 +60,14 @@ def _entries(texts: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return sets, *np.unique(every, return_counts=True)
 
 
-def _edges(h: np.ndarray, bits: int) -> list[int]:
-    return [0, *np.searchsorted(h, np.arange(1, 1 << bits, dtype=U) << U(FREQ_BITS - bits)).tolist(), len(h)]
-
-
 def _ask(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bundle, _, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, h, n = _entries(texts)
-                at = _edges(h, bits)
-                out = [(bundle, r, squeeze(h[a:b]), planes(n[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(at, at[1:])) if b > a]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["bundle", "range", "h", "n"])
+        for bundle, _, texts in rows_of(batches):
+            _, h, n = _entries(texts)
+            n = n.astype(np.uint32)
+            out = [(bundle, r, squeeze(h[a:b]), planes(n[a:b])) for r, a, b in ranges(h, FREQ_BITS - bits)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["bundle", "range", "h", "n"])
 
     return run
 
@@ -88,27 +85,37 @@ def _candidates(bits: int):
     """(class_id, n, keys, tokens): keys are the shared shingles of the prefix, tokens the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, texts, replies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sets, h, _ = _entries(texts)
-                at, log = _edges(h, bits), np.zeros(len(h), np.uint8)
-                for x in replies or []:
-                    log[at[x["range"]] : at[x["range"] + 1]] = unplanes(x["h"], np.uint8)
-                out = []
-                for i, s in zip(ids, sets, strict=True):
-                    own = log[np.searchsorted(h, s >> U(64 - FREQ_BITS))]
-                    if len(s) and 4 * int(np.count_nonzero(own)) >= 3 * len(s):
-                        order = np.lexsort((s, own))[: len(s) - (3 * len(s) + 3) // 4 + 1]
-                        keys = s[order[own[order] > 0]]
-                        if len(keys):
-                            out.append((i, len(s), keys.view(np.int64), s.tobytes()))
-                if out:
-                    i, n, k, t = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array([x.tolist() for x in k], pa.list_(pa.int64())), pa.array(t, pa.binary())], ["class_id", "n", "keys", "tokens"])
+        for ids, texts, replies in rows_of(batches):
+            sets, h, _ = _entries(texts)
+            del texts
+            log, at = np.zeros(len(h), np.uint8), {r: (a, b) for r, a, b in ranges(h, FREQ_BITS - bits)}
+            for x in replies or []:
+                a, b = at[x["range"]]
+                log[a:b] = unplanes(x["h"], np.uint8)
+            out, held = [], 0
+            for i, s in zip(ids, sets, strict=True):
+                own = log[np.searchsorted(h, s >> U(64 - FREQ_BITS))]
+                if len(s) and 4 * int(np.count_nonzero(own)) >= 3 * len(s):
+                    order = np.lexsort((s, own))[: len(s) - (3 * len(s) + 3) // 4 + 1]
+                    keys = s[order[own[order] > 0]]
+                    if len(keys):
+                        out.append((i, len(s), keys.view(np.int64), s.tobytes()))
+                        held += len(s)
+                if held >= BATCH_SHINGLES:
+                    yield _batch(out)
+                    out, held = [], 0
+            if out:
+                yield _batch(out)
 
     return run
 
 
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    i, n, keys, tokens = zip(*out, strict=True)
+    cut = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(cut, np.concatenate(keys)), pa.array(tokens, pa.binary())], ["class_id", "n", "keys", "tokens"])
+
+
 def _joined(rows: pd.DataFrame) -> pd.DataFrame:
     """Spanning links inside each unit of work: rows (unit, class_id, tokens, grp, asked)."""
     out = []
@@ -127,9 +134,15 @@ def _work(rows: DataFrame, total: int) -> DataFrame:
     return rows.withColumn("_deal", F.pmod(F.xxhash64("unit"), F.lit(n))).groupBy("_deal").applyInPandas(_joined, "u long, v long")
 
 
-def class_links(classes: DataFrame) -> DataFrame:
-    """Links (u, v) that connect classes of sets as their similarities do; classes: (class_id, text)."""
-    bits = range_bits(classes, "text", PER_RANGE)
+def class_links(classes: DataFrame, shingles: int) -> DataFrame:
+    """Links (u, v) that connect classes of sets as their similarities do; classes: (class_id, text), ``shingles`` in all."""
+    with scratch() as keep:
+        links = _class_links(classes, max(4, (shingles // PER_RANGE).bit_length()))
+        keep(links)
+    return links
+
+
+def _class_links(classes: DataFrame, bits: int) -> DataFrame:
     cut = written(bundled(classes, "class_id", "text"), "join-docs")
     asked = cut.mapInArrow(_ask(bits), "bundle long, range int, h binary, n binary")
     replies = written(asked.groupBy("range").applyInPandas(_frequency, "bundle long, range int, h binary"), "join-frequency")
@@ -167,7 +180,7 @@ def class_links(classes: DataFrame) -> DataFrame:
         askers = mine.filter("out").withColumn("part", F.pmod(F.xxhash64("class_id", F.lit(2)), F.col("parts"))).withColumn("block", F.explode(upto(F.col("blocks")))).withColumn("asked", F.lit(True))
         both = askers.unionByName(members).select("class_id", "tokens", "grp", "asked", F.concat_ws(":", "component", "block", "part").alias("unit"))
         total = both.agg(F.sum(F.octet_length("tokens") / 8)).first()[0] or 0
-        links = links.unionByName(written(_work(both, int(total)), "join-links"))
+        links = written(links.unionByName(_work(both, int(total))), "join-links")
     return links
 
 
@@ -177,48 +190,63 @@ def _grouped(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFr
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     ids = written(rows.select("doc_id", id_text_hash(rows["doc_id"], rows["text"]).alias("th"), "text").mapInArrow(_digests, "doc_id long, th long, n_shingles long, digest binary"), "join-ids")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("first")
-    classes = ids.filter("digest is not null").groupBy("digest").agg(first).select("digest", "first.doc_id", "first.th")
+    classes = ids.filter("digest is not null").groupBy("digest").agg(first, F.first("n_shingles").alias("n")).select("digest", "n", "first.doc_id", "first.th")
     classes = written(classes.withColumn("class_id", F.monotonically_increasing_id()), "join-classes")
+    shingles = classes.agg(F.sum("n")).first()[0] or 0
     texts = rows.withColumn("th", id_text_hash(rows["doc_id"], rows["text"]))
     texts = texts.join(classes.select("th", F.col("doc_id").alias("_first"), "class_id"), "th").filter(F.col("doc_id").eqNullSafe(F.col("_first"))).select("class_id", "text")
-    links = written(class_links(written(texts, "join-texts")), "join-links")
-    parts = components(links).withColumnRenamed("node", "class_id")
-    return ids, classes.join(parts, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    parts = components(class_links(texts, shingles)).withColumnRenamed("node", "class_id")
+    return ids, classes.drop("n").join(parts, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, class_id.
 
     Documents whose sets of five-word shingles have a Jaccard similarity of 3/4 or more link; component_id is the smallest
-    id that links reach. A text of fewer words is one shingle; one without words (or null) links with nothing. Rows
-    with equal sets link, repeated rows too; null ids don't count as smallest unless there is no other. class_id numbers
-    the distinct sets, null for empty ones. An empty table gives an empty result.
+    id that links reach. A text of fewer words is one shingle; one without words (or null) links with nothing. Texts may be
+    of any length. Rows with equal sets link, repeated rows too; null ids don't count as smallest unless there is no
+    other. class_id numbers the distinct sets, null for empty ones. An empty table gives an empty result. Only the two
+    columns named are read, so others may have any name.
     """
-    ids, joined = _grouped(docs, id_col, text)
-    named = joined.select("component", "digest", "class_id").join(joined.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("digest", "class_id", "component_id")
-    out = ids.join(named, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_id")
+    with scratch() as keep:
+        ids, joined = _grouped(docs, id_col, text)
+        named = joined.select("component", "digest", "class_id").join(joined.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("digest", "class_id", "component_id")
+        # a third of all rows may have one digest
+        some = spread_join(ids.filter("digest is not null"), named, ["digest"], F.xxhash64("doc_id", "th")).select("doc_id", "n_shingles", "component_id", "class_id")
+        none = ids.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
+        found = written(some.unionByName(none), "join-found")
+        keep(found)
+    return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of linked documents, that with the smallest id; columns as they were.
 
     Null ids come after all others; of rows with that same id, that with the smallest hash of id and text stays, and one of
-    rows that have both in common. Rows without words link with nothing, so all of them stay.
+    rows that have both in common. Rows without words link with nothing, so all of them stay. Columns may have any names.
+    An empty table stays empty.
     """
-    ids, classes = _grouped(docs, id_col, text)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("first")
-    heads = classes.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_k"), F.col("first.th").alias("_h"))
-    again = ids.filter("digest is not null").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    heads = heads.join(again, (F.col("_h") == F.col("th")) & F.col("_k").eqNullSafe(F.col("doc_id")), "left").select("_k", "_h", F.col("n").isNotNull().alias("_again"))
-    best = written(heads.unionByName(ids.filter("digest is null").select(F.col("doc_id").alias("_k"), F.col("th").alias("_h"), F.lit(False).alias("_again")).distinct()), "join-best")
+    with scratch() as keep:
+        ids, classes = _grouped(docs, id_col, text)
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("first")
+        heads = classes.groupBy("component").agg(first).select(F.col("first.doc_id").alias("k"), F.col("first.th").alias("h"))
+        several = ids.filter("digest is not null").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        heads = heads.join(several, (F.col("h") == F.col("th")) & F.col("k").eqNullSafe(F.col("doc_id")), "left").select("k", "h", F.col("n").isNotNull().alias("again"))
+        wordless = ids.filter("digest is null").select(F.col("doc_id").alias("k"), F.col("th").alias("h"), F.lit(False).alias("again")).distinct()
+        best = written(heads.unionByName(wordless), "join-best")
+        keep(best)
+    k, h = fresh(docs, "_k"), fresh(docs, "_h")
     own, words = docs[id_col].cast("long"), text_of(docs, text)
-    of = lambda keys: docs.join(keys, (id_text_hash(own, words) == F.col("_h")) & own.eqNullSafe(F.col("_k")), "left_semi")
-    once, several = of(best.filter("not _again")), best.filter("_again")
-    if several.isEmpty():
-        return once
-    one = of(several).groupBy(own, words).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("_row")).select("_row.*")
-    return once.unionByName(one)
+
+    def of(again: bool) -> DataFrame:
+        keys = best.filter(F.col("again") == again).select(F.col("k").alias(k), F.col("h").alias(h))
+        return docs.join(keys, (id_text_hash(own, words) == F.col(h)) & own.eqNullSafe(F.col(k)), "left_semi")
+
+    if best.filter("again").isEmpty():
+        return of(False)
+    row = fresh(docs, "_row")
+    one = of(True).groupBy(own, words).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias(row)).select(f"{row}.*")
+    return of(False).unionByName(one)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,10 +64,23 @@ def bounds(buf: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
     p = _POWERS.setdefault(seed, _Powers(seed))
-    p.grown(len(buf) + 1)
-    run = np.zeros(len(buf) + 1, U)
-    np.cumsum(p.byte[buf] * p.up[: len(buf)], out=run[1:])
-    return mixed((run[end] - run[start]) * p.down[start] + (end - start).astype(U) * _ADD)
+    p.grown(min(len(buf), 2 * PIECE) + 1)
+    if len(buf) > 2 * PIECE:
+        raw = np.array([_long(p, buf[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)], U)
+    else:
+        run = np.zeros(len(buf) + 1, U)
+        np.cumsum(p.byte[buf] * p.up[: len(buf)], out=run[1:])
+        raw = (run[end] - run[start]) * p.down[start]
+    return mixed(raw + (end - start).astype(U) * _ADD)
+
+
+def _long(p: _Powers, word: np.ndarray) -> int:
+    """A long word's polynomial, part by part."""
+    total = 0
+    for a in range(0, len(word), PIECE):
+        part = word[a : a + PIECE]
+        total += int((p.byte[part] * p.up[: len(part)]).sum(dtype=U)) * pow(p.base, a, 2**64)
+    return total % 2**64
 
 
 def chunks(texts: list[bytes], limit: int = PIECE) -> Iterator[tuple[int, int]]:
@@ -83,22 +96,21 @@ def chunks(texts: list[bytes], limit: int = PIECE) -> Iterator[tuple[int, int]]:
 
 
 def _pieces(text: bytes, sep: np.ndarray) -> Iterator[bytes]:
-    """A long text cut at separators."""
-    at, buf = 0, np.frombuffer(text, np.uint8)
+    """A long text cut at separators into pieces of at most ``PIECE`` bytes; a longer word is a piece of its own."""
+    cuts, at = np.flatnonzero(sep[np.frombuffer(text, np.uint8)]), 0
     while at < len(text):
-        end = min(at + PIECE, len(text))
-        while end < len(text) and not sep[buf[end]]:
-            more = np.flatnonzero(sep[buf[end : end + PIECE]])
-            end = end + int(more[0]) if len(more) else min(end + PIECE, len(text))
+        end = at + PIECE
+        if end < len(text):
+            k = int(np.searchsorted(cuts, end, "right"))
+            if k and cuts[k - 1] > at:
+                end = int(cuts[k - 1])
+            else:
+                end = int(cuts[k]) if k < len(cuts) else len(text)
         yield text[at:end]
         at = end
 
 
-def words(texts: list[bytes], sep: np.ndarray = SPACE, seeds: tuple[int, ...] = (0,)) -> tuple[np.ndarray, list[np.ndarray]]:
-    """For all words of ``texts`` in order: how many each text has, and the hashes by seed."""
-    if len(texts) == 1 and len(texts[0]) > PIECE:
-        found = [words([p], sep, seeds) for p in _pieces(texts[0], sep)]
-        return np.array([sum(int(n[0]) for n, _ in found)]), [np.concatenate([h[k] for _, h in found]) for k in range(len(seeds))]
+def _words(texts: list[bytes], sep: np.ndarray, seeds: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
     one = int(np.flatnonzero(sep)[0])
     buf = np.frombuffer(bytes([one]).join(texts), np.uint8)
     start, end = bounds(buf, sep)
@@ -107,6 +119,17 @@ def words(texts: list[bytes], sep: np.ndarray = SPACE, seeds: tuple[int, ...] =
     return count, [_hash(buf, start, end, s) for s in seeds]
 
 
+def words(texts: list[bytes], sep: np.ndarray = SPACE, seeds: tuple[int, ...] = (0,)) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For all words of ``texts`` in order: how many each text has, and the hashes by seed.
+
+    A single text may be of any length: it is hashed piece by piece, and so is a word longer than a piece.
+    """
+    if len(texts) == 1 and len(texts[0]) > PIECE:
+        found = [_words([p], sep, seeds) for p in _pieces(texts[0], sep)]
+        return np.array([sum(int(n[0]) for n, _ in found)]), [np.concatenate([h[k] for _, h in found]) for k in range(len(seeds))]
+    return _words(texts, sep, seeds)
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` consecutive words (also of those that cross texts)."""
     n = len(hashes) - k + 1
