@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm.common import table, written
+from statloom.llm.common import dropped, scratch, table, written
 from statloom.llm.exact_dedup import keep_first
 from statloom.llm.jaccard_join import keep_one
 from statloom.llm.language_id import keep_identified
@@ -50,5 +50,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with scratch() as keep:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep(docs)
+        dropped(before)
     return docs
