@@ -32,6 +32,7 @@ IBAN_SIZES = {
     26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 CONTEXT_CHARS, BOOST, LEAST = 40, 0.3, 0.5
+SPAN, BLOCK = "struct<start:int,kind_no:int,end:int,kind:string,score:double>", 128
 
 
 def _digits(m: Column) -> Column:
@@ -67,31 +68,59 @@ def _account_end(m: Column) -> Column:
     return F.coalesce(F.array_max(F.filter(fine, lambda k: size(k) == sizes[F.substring(m, 1, 2)])), F.array_max(fine))
 
 
+def _running(values: Column) -> Column:
+    """Running sums of an array of integers: in pass k each adds the one 2^k places before, so n take log n passes."""
+    passes = F.ceil(F.log2(F.size(values).cast("double"))).cast("int")
+    step = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    shifted = lambda acc, k: F.concat(F.array_repeat(F.lit(0), step(k)), F.slice(acc, F.lit(1), F.size(acc) - step(k)))
+    added = F.aggregate(F.sequence(F.lit(0), passes - 1), values, lambda acc, k: F.zip_with(acc, shifted(acc, k), lambda x, y: x + y))
+    return F.when(F.size(values) > 1, added).otherwise(values)
+
+
+def _apart(spans: Column) -> Column:
+    """Of spans in the order of their starts, each that starts at or after the end of the last one taken. They are taken
+    by blocks, as an array that grows is copied whenever it does."""
+    span = f"array<{SPAN}>"
+
+    def one(acc: Column, x: Column) -> Column:
+        good = x["start"] >= acc["end"]
+        return F.struct(F.when(good, x["end"]).otherwise(acc["end"]).alias("end"), F.when(good, F.concat(acc["took"], F.array(x))).otherwise(acc["took"]).alias("took"))
+
+    def block(acc: Column, k: Column) -> Column:
+        some = F.aggregate(F.slice(spans, k * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["end"].alias("end"), F.array().cast(span).alias("took")), one)
+        return F.struct(some["end"].alias("end"), F.concat(acc["took"], F.array(some["took"])).alias("took"))
+
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{span}>").alias("took"))
+    took = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), start, block, lambda acc: F.flatten(acc["took"]))
+    return F.when(F.size(spans) > 1, took).otherwise(spans)
+
+
 def _spans(text: Column, kind: str, order: int) -> Column:
-    """array<struct<start, order, end, kind, score, value>> of the valid matches of one kind."""
+    """array<SPAN> of the valid matches of one kind."""
     pattern, needs, score, words = KINDS[kind]
-    kind_of = "array<struct<start:int,kind_no:int,end:int,kind:string,score:double>>"
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.zip_with(values, F.slice(between, 1, F.size(values)), lambda m, s: F.struct(m.alias("m"), s.alias("s")))
+    before = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values))
+    past = _running(F.zip_with(before, values, lambda s, m: F.length(s) + F.length(m)))
+    pairs = F.arrays_zip(values.alias("m"), before.alias("s"), past.alias("past"))
     if kind == "iban":
         rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        pairs = F.zip_with(pairs, F.transform(F.arrays_zip(values.alias("m"), rest.alias("r")), lambda x: _account_end(F.concat(x["m"], x["r"]))), lambda x, n: F.struct(x["m"].alias("m"), x["s"].alias("s"), n.alias("n")))
+        ends = F.transform(F.arrays_zip(values.alias("m"), rest.alias("r")), lambda x: _account_end(F.concat(x["m"], x["r"])))
+        pairs = F.arrays_zip(values.alias("m"), before.alias("s"), past.alias("past"), ends.alias("n"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["s"])
-        past = start + F.length(x["m"])
-        end = start + x["n"] if kind == "iban" else past
+    def span(x: Column) -> Column:
         near = F.when(F.lower(F.right(x["s"], F.lit(CONTEXT_CHARS))).rlike(words), F.lit(BOOST)).otherwise(0.0)
         sure = F.least(F.lit(score) + near, F.lit(1.0))
-        good = _valid(kind, x["m"]) if kind in BASE else _valid(kind, x["m"]) & (sure >= LEAST)
-        if kind == "iban":  # not within the one before
-            good = x["n"].isNotNull() & (sure >= LEAST) & (start >= F.coalesce(F.try_element_at(acc["spans"], F.lit(-1))["end"], F.lit(0)))
-        span = F.struct(start.alias("start"), F.lit(order).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), sure.alias("score"))
-        return F.struct(past.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).cast(kind_of).alias("spans"))
-
-    empty = F.array().cast(kind_of)
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda acc: acc["spans"])
+        start = x["past"] - F.length(x["m"])
+        end = start + x["n"] if kind == "iban" else x["past"]
+        return F.struct(start.alias("start"), F.lit(order).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), sure.alias("score")).cast(SPAN)
+
+    good = (lambda x: x["n"].isNotNull()) if kind == "iban" else (lambda x: _valid(kind, x["m"]))
+    found = F.transform(F.filter(pairs, good), span)
+    if kind not in BASE:
+        found = F.filter(found, lambda x: x["score"] >= LEAST)
+    if kind == "iban":
+        found = _apart(found)
+    empty = F.array().cast(f"array<{SPAN}>")
     return F.when(F.contains(text, F.lit(needs)) if needs else F.lit(True), F.when(text.rlike(pattern), found).otherwise(empty)).otherwise(empty)
 
 
