@@ -10,17 +10,27 @@ brings the source nearer to its budget.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, dropped, table, text_of, written
+from .common import WORD, dropped, scratch, table, text_of, written
 
 BITS, STEP = 60, 12
+#: Rows, one a source, that are sent to every task.
+MOST_SENT = 100_000
+
+
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of id and text, as any engine can compute them; null ids and texts as empty."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, BITS // 4), 16, 10).cast("long")
 
 
-def hash_of(doc_id: Column) -> Column:
-    """60 bits of the id's MD5, as any engine can compute them."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
+def _sent(plan: DataFrame, rows: int) -> DataFrame:
+    """One row a source, broadcast while they are few; beyond that Spark joins by shuffling."""
+    return F.broadcast(plan) if rows <= MOST_SENT else plan
 
 
 def targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
@@ -45,9 +55,10 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
     state = plan.withColumn("copies", whole).withColumn("rest", F.greatest(F.col("target") - F.col("copies") * F.col("source_size"), F.lit(0.0)))
     state = written(state.select("source", "source_size", "target", "copies", "rest", F.lit(0).cast("long").alias("low"), F.lit(False).alias("over")), "mix-state")
+    sources = state.count()
     for shift in range(BITS - STEP, -1, -STEP):
         # state.low: all hashes below it are taken; the boundary lies in [low, low + 2^(shift+STEP))
-        inside = sized.join(F.broadcast(state.select(F.col("source").alias("s"), "low")), F.col("source").eqNullSafe(F.col("s")))
+        inside = sized.join(_sent(state.select(F.col("source").alias("s"), "low"), sources), F.col("source").eqNullSafe(F.col("s")))
         inside = inside.filter((F.col("hash") >= F.col("low")) & (F.col("hash") < F.col("low") + F.lit(1 << (shift + STEP))))
         bars = inside.groupBy("source", F.shiftright(F.col("hash"), shift).alias("bucket")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("source").orderBy("bucket")
@@ -65,34 +76,46 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def planned(docs: DataFrame, id_col: str, text: str, source: str, cap: float) -> tuple[DataFrame, DataFrame]:
-    """The sizes of all rows, and the thresholds: a row a source, so small enough to send to all tasks."""
+    """The sizes of all rows, and the thresholds, a row a source."""
     size = F.size(F.regexp_extract_all(text_of(docs, text), F.lit(WORD), F.lit(0))).cast("long")
-    sized = written(docs.select(docs[id_col].alias("doc_id"), docs[source].cast("string").alias("source"), hash_of(docs[id_col]).alias("hash"), size.alias("size")), "mix-sizes")
+    sized = written(docs.select(docs[id_col].alias("doc_id"), docs[source].cast("string").alias("source"), hash_of(docs[id_col], docs[text]).alias("hash"), size.alias("size")), "mix-sizes")
     return sized, thresholds(sized, targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap)).withColumnRenamed("source", "s")
 
 
-def _copies(value_hash: Column) -> Column:
-    return (F.col("copies") + F.when((value_hash <= F.col("threshold")) & (F.col("source_size") > 0), 1).otherwise(0)).cast("int")
+def _copies(value_hash: Column, cap: float) -> Column:
+    once_more = F.when((value_hash <= F.col("threshold")) & (F.col("source_size") > 0), 1).otherwise(0)
+    return F.least(F.col("copies") + once_more, F.lit(math.ceil(cap))).cast("int")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", cap: float = 3.0) -> DataFrame:
     """One row for each row of ``docs``: doc_id, size, source_size, target, taken (and source, copies).
 
-    Null sources form one source, the last. Null ids share one hash, so such rows are taken or left together. Sources
-    without words have target 0. An empty table gives an empty result. The number of sources must fit one task: one
-    row a source is ranked there.
+    Null sources form one source, the last. A row's hash is of its id and text, so rows with null or repeated ids are told
+    apart by their texts; rows that have both in common are taken or left together. Null and empty texts have size 0.
+    Sources without words have target 0. Only the columns named are read. An empty table gives an empty result. The
+    number of sources must fit one task: one row a source is ranked there.
     """
-    sized, found = planned(docs, id_col, text, source, cap)
-    n = _copies(F.col("hash"))
-    return sized.join(F.broadcast(found), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"), "source", n.alias("copies"))
+    with scratch() as keep:
+        sized, found = planned(docs, id_col, text, source, cap)
+        n = _copies(F.col("hash"), cap)
+        out = sized.join(_sent(found, found.count()), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"), "source", n.alias("copies"))
+        out = written(out, "mix-found")
+        keep(out)
+    return out
 
 
 def repeat_mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", cap: float = 3.0) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns as they were. Texts don't move: a row's
-    own id and source say how often it is taken."""
-    _, found = planned(docs, id_col, text, source, cap)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), hash_of(docs[id_col]).alias("hash"), docs[source].cast("string").alias("source"))
-    joined = rows.join(F.broadcast(found), F.col("source").eqNullSafe(F.col("s"))).select("row", F.explode(F.array_repeat(F.lit(1), _copies(F.col("hash")))).alias("one"))
+    """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns as they were, whatever their names.
+
+    Texts don't move: a row's own id, text and source say how often it is taken. Nulls, empty texts, repeated rows and
+    empty tables are as :func:`mix` says; a row without words has at most ``cap`` copies like any other.
+    """
+    with scratch() as keep:
+        sized, found = planned(docs, id_col, text, source, cap)
+        found = written(found, "mix-plan")
+        keep(found)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), hash_of(docs[id_col], docs[text]).alias("hash"), docs[source].cast("string").alias("source"))
+    joined = rows.join(_sent(found, found.count()), F.col("source").eqNullSafe(F.col("s"))).select("row", F.explode(F.array_repeat(F.lit(1), _copies(F.col("hash"), cap))).alias("one"))
     return joined.select("row.*")
 
 
@@ -103,7 +126,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Rounds of resharing that the SQL spells out: one a source at most is ever needed.
 _MIX = r"""
 d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-      ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS hash FROM {docs}),
+      ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 15))::BIGINT AS hash FROM {docs}),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS weight, 3.0 * source_size AS most, sum(source_size) OVER () AS total FROM s0),
 r AS (SELECT 0 AS round, source, CAST(0 AS BOOLEAN) AS capped FROM s1
