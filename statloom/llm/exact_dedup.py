@@ -6,63 +6,104 @@ names (0,1), (2,3), ... are named as pairs in the same way, level by level, unti
 come from comparing bytes or exact pairs of integers, so two texts share an identity (level, name) only if they are
 equal; no digest decides anything.
 
-Scale: a block that is frequent is collapsed inside each Arrow batch before it is shuffled, so a naming task sees a hot
-block at most once for each batch; pairs are collapsed by partial aggregation. The text crosses the network once.
+Scale: texts are normalised once, and their blocks cross the network once. A task remembers the blocks it has seen, up to
+``SEEN_BYTES`` and beyond that the repeated ones, and sends only their names again, so that a naming task gets a hot block
+about once from each task; pairs are collapsed by partial aggregation. The rows of a large group are dealt to many tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructType
 
-from .common import WHITE, dropped, table, written
+from .common import WHITE, dropped, scratch, spread_join, table, written
 
-BLOCK_BYTES = 2048
+BLOCK_BYTES, SEEN_BYTES, OUT_BYTES = 2048, 24 << 20, 4 << 20
 
 
-def _local_names(block_bytes: int):
+class Seen:
+    """The blocks of a task that it has sent, by their bytes, with their names."""
+
+    def __init__(self):
+        self.once: dict[bytes, int] = {}
+        self.often: dict[bytes, int] = {}
+        self.size = 0
+
+    def name(self, block: bytes, number: int) -> int:
+        """The block's name if it is known, else ``number``, which becomes its name."""
+        if (known := self.often.get(block)) is not None:
+            return known
+        if (known := self.once.pop(block, None)) is not None:
+            self.often[block] = known
+            return known
+        if self.size > SEEN_BYTES:
+            self.size = sum(map(len, self.often))
+            self.once.clear()
+            if self.size > SEEN_BYTES // 2:
+                self.often.clear()
+                self.size = 0
+        self.once[block] = number
+        self.size += len(block)
+        return number
+
+
+def _blocks(block_bytes: int, out: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 36
+        number, seen = TaskContext.get().partitionId() << 36, Seen()
         for batch in batches:
-            uid, norm = batch.column(0).to_pylist(), batch.column(1)
-            row, pos, of, blocks = [], [], [], []
-            seen: dict[bytes, int] = {}
-            for u, t in zip(uid, norm.to_pylist(), strict=True):
-                for k, a in enumerate(range(0, max(len(t), 1), block_bytes)):
-                    block = t[a : a + block_bytes]
-                    name = seen.get(block)
-                    blocks.append(None if name is not None else block)
-                    if name is None:
-                        name = seen[block] = first
-                    first += 1
-                    row.append(u), pos.append(k), of.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(pos, pa.int32()), pa.array(of, pa.int64()), pa.array(blocks, pa.binary())], ["uid", "pos", "rep", "block"])
+            rows: list[tuple] = []
+            held = 0
+            for k in range(batch.num_rows):
+                uid, text = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
+                digest = hashlib.sha256(text).hexdigest()
+                for pos, a in enumerate(range(0, max(len(text), 1), block_bytes)):
+                    block = text[a : a + block_bytes]
+                    name = seen.name(block, number)
+                    rows.append((uid, pos, name, block if name == number else None, None if pos else k, None if pos else digest))
+                    held += len(block) if name == number else 0
+                    number += 1
+                if held > OUT_BYTES:
+                    yield _batch(rows, batch.column(1), out)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows, batch.column(1), out)
 
     return run
 
 
-def identities(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` with a number each, written, as (row_number, row, text_sha256); and (row_number, level, name).
+def _batch(rows: list[tuple], ids: pa.Array, out: list[str]) -> pa.RecordBatch:
+    uid, pos, rep, block, at, digest = zip(*rows, strict=True)
+    cols = [pa.array(uid, pa.int64()), pa.array(pos, pa.int32()), pa.array(rep, pa.int64()), pa.array(block, pa.binary()), ids.take(pa.array(at, pa.int64())), pa.array(digest, pa.string())]
+    return pa.RecordBatch.from_arrays(cols, out)
+
+
+def identities(numbered: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """From (row_number, doc_id, text), with numbers that differ: (row_number, doc_id, text_sha256) and (row_number, level,
+    name).
 
     (level, name) is the identity of the normalised text: each run of ASCII white space as one space, null as empty.
-    Empty texts are one block of no bytes and equal one another. Rows are told apart by their number, so repeated
-    ids, repeated rows and null ids each keep their own row. An empty table gives an empty result.
+    Empty texts are one block of no bytes and equal one another. Texts may be of any length. Null ids and repeated rows
+    each keep their own row. An empty table gives an empty result.
     """
-    norm = lambda t: F.regexp_replace(F.coalesce(t.cast("string"), F.lit("")), WHITE, " ")
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row_number"), row, F.sha2(norm(docs[text]), 256).alias("text_sha256")), "dedup-rows")
-    cut = written(rows.select("row_number", norm(F.col("row")[text]).cast("binary").alias("norm")).mapInArrow(_local_names(block_bytes), "uid long, pos int, rep long, block binary"), "dedup-blocks")
+    norm = F.regexp_replace(F.coalesce(numbered["text"].cast("string"), F.lit("")), WHITE, " ").cast("binary")
+    out = StructType().add("uid", LongType()).add("pos", IntegerType()).add("rep", LongType()).add("block", BinaryType()).add("doc_id", numbered.schema["doc_id"].dataType).add("text_sha256", StringType())
+    names = ["uid", "pos", "rep", "block", "doc_id", "text_sha256"]
+    cut = written(numbered.select("row_number", "doc_id", norm.alias("norm")).mapInArrow(_blocks(block_bytes, names), out), "dedup-blocks")
     # the blocks' names: the smallest number in each run of equal blocks
     same = Window.partitionBy("block")
     named = cut.filter("block is not null").select("rep", F.min("rep").over(same).alias("name"))
-    level = written(cut.select("uid", "pos", "rep").join(named, "rep").select("uid", "pos", "name"), "dedup-level")
+    level = written(cut.select("uid", "pos", "rep", "doc_id", "text_sha256").join(named, "rep").drop("rep"), "dedup-level")
     dropped(cut)
+    ids = level.filter("pos = 0").select(F.col("uid").alias("row_number"), "doc_id", "text_sha256")
     longest = level.agg(F.max("pos")).first()[0] or 0
+    level = level.select("uid", "pos", "name")
     done = level.groupBy("uid").agg(F.max("pos").alias("last"), F.min("name").alias("name")).filter("last = 0").select("uid", F.lit(0).alias("level"), "name")
     work, k = level.withColumn("last", F.max("pos").over(Window.partitionBy("uid"))).filter("last > 0").drop("last"), 0
     while longest > 0:
@@ -73,33 +114,39 @@ def identities(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYT
         done = done.unionByName(work.filter("last = 0").select("uid", F.lit(k).alias("level"), "name"))
         work = work.filter("last > 0").drop("last")
         dropped(pair, names)
-    return rows, done.withColumnRenamed("uid", "row_number")
+    return ids, done.withColumnRenamed("uid", "row_number")
 
 
-def _grouped(docs: DataFrame, id_col: str, text: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """The numbered rows; and for each number its document's id, that of the row that stays, the group's size and which
-    row stays."""
-    rows, named = identities(docs, text, block_bytes)
-    ids = written(rows.select("row_number", F.col("row")[id_col].alias("doc_id"), "text_sha256").join(named, "row_number"), "dedup-ids")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("row_number").alias("row")))
-    groups = ids.groupBy("level", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return rows, ids.join(groups, ["level", "name"]).select("row_number", "doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row_number") == F.col("best.row")).alias("kept"), "text_sha256")
+def _grouped(numbered: DataFrame, block_bytes: int) -> DataFrame:
+    """For each row of (row_number, doc_id, text): its document's id, that of the row that stays, the group's size and
+    which row stays."""
+    with scratch() as keep:
+        ids, named = identities(numbered, block_bytes)
+        ids = written(ids.join(named, "row_number"), "dedup-ids")
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("row_number").alias("row")))
+        groups = ids.groupBy("level", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+        found = spread_join(ids, groups, ["level", "name"], F.xxhash64("row_number"))
+        found = written(found.select("row_number", "doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row_number") == F.col("best.row")).alias("kept"), "text_sha256"), "dedup-found")
+        keep(found)
+    return found
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the smallest id stays (null ids come after all others; of several rows with that same
-    id, one stays, the first read). ``keep_id`` is null only where all ids of the group are null.
+    id, one stays, the first read). ``keep_id`` is null only where all ids of the group are null. Null texts equal empty
+    ones. Only the two columns named are read, so others may have any name. An empty table gives an empty result.
     """
-    rows, found = _grouped(docs.select(docs[id_col], docs[text]), id_col, text, block_bytes)
-    dropped(rows)
-    return found.drop("row_number")
+    return _grouped(docs.select(F.monotonically_increasing_id().alias("row_number"), docs[id_col].alias("doc_id"), docs[text].alias("text")), block_bytes).drop("row_number")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as they were."""
-    rows, found = _grouped(docs, id_col, text, block_bytes)
+    """``docs`` with one row of each group of equal texts, all columns as they were, whatever their names; which one, and
+    what becomes of nulls, empty texts and repeated rows, is as :func:`exact_dedup` says."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row_number"), row), "dedup-rows")
+    found = _grouped(rows.select("row_number", F.col("row")[id_col].alias("doc_id"), F.col("row")[text].alias("text")), block_bytes)
     return rows.join(found.filter("kept").select("row_number"), "row_number", "left_semi").select("row.*")
 
 
