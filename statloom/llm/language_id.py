@@ -25,6 +25,11 @@ from .textvec import chunks
 ORDER = 3
 #: Training rows for each language, taken by a hash of id and text; all where there are fewer.
 TRAIN_DOCS = 4000
+#: Languages learned at most, the most frequent ones; the first by code point of equally frequent ones.
+MOST_LANGS = 256
+#: A text is in none of the languages if its best code takes more than so many bits a byte, and so many besides. Texts in
+#: a learned language take 2 to 3; bytes that never followed one another take 8 and more.
+MOST_BITS, SLACK_BITS = 6.0, 64.0
 PAD = b"\n" * ORDER
 
 
@@ -157,13 +162,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", train_doc
     """A model from rows with a language; of each language about ``train_docs`` whole texts, chosen by hash.
 
     Counting runs on the executors; the driver gets the counts of four-byte strings, bounded by the sample. Null texts
-    and languages teach nothing; without any row the model knows no language.
+    and languages teach nothing; without any row the model knows no language. Rows that repeat count as often as they do.
     """
     rows = labelled.select(labelled[lang].cast("string").alias("lang"), labelled[text].cast("string").alias("text"), labelled[key].alias("key")).dropna(subset=["lang", "text"])
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0.0)
-    for k, v in n.items():
-        share = F.when(F.col("lang") == k, min(1.0, train_docs / v)).otherwise(share)
+    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    share = F.create_map(*[F.lit(x) for r in n for x in (r["lang"], min(1.0, train_docs / r["n"]))])[F.col("lang")] if n else F.lit(0.0)
     some = rows.filter(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
     counts = some.mapInPandas(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     return Model(counts.toPandas())
@@ -214,25 +217,29 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(found["doc_id"], 5, 0).alias("held_out"), "lang_pred", "score", "bits")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is undetermined, columns as they were.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", most_bits: float = MOST_BITS) -> DataFrame:
+    """``docs`` without the rows whose language isn't identified, columns as they were; a null ``lang`` becomes the predicted one.
 
-    Those are the rows whose text has no letter, whatever the model says; so they are all that goes if it knows no language.
+    Rows go whose text has no letter (null and empty ones too), or takes more than ``most_bits`` bits a byte and 64 bits
+    besides in the best language: no language explains it. If no row has a language, nothing is learned, and texts
+    without letters are all that goes. Null ids and repeated rows are judged like others; an empty table stays empty.
     """
     model = train(docs.filter(~held_out(docs[id_col], 5, 0)), text, lang, key=id_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    at, named = docs.columns.index(text), docs.columns.index(lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _predict(shared)
-        k = names.index(text)
+        model: Model = shared.value
         for batch in batches:
-            if not shared.value.langs:
-                yield batch.filter(pa.array(_lettered([t or "" for t in batch.column(k).cast(pa.string()).to_pylist()])))
-                continue
-            asked = pa.RecordBatch.from_arrays([batch.column(k), batch.column(k)], ["row", "text"])
-            verdict = next(judge(iter([asked]))).column(1)
-            yield batch.filter(pc.not_equal(verdict, "und"))
-
+            texts = [t or "" for t in batch.column(at).cast(pa.string()).to_pylist()]
+            fine = _lettered(texts)
+            if model.langs:
+                bits = model.lengths(texts)
+                size = np.array([len(_prepared(t)) - ORDER for t in texts])
+                fine &= bits.min(1) <= most_bits * size + SLACK_BITS if len(texts) else fine
+                if pa.types.is_string(batch.column(named).type):
+                    best = pa.array([model.langs[k] for k in bits.argmin(1).tolist()], pa.string())
+                    batch = batch.set_column(named, batch.schema.field(named), pc.coalesce(batch.column(named), best))
+            yield batch.filter(pa.array(fine))
 
     return docs.mapInArrow(run, docs.schema)

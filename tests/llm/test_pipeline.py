@@ -12,13 +12,20 @@ from statloom.llm import packing
 from statloom.llm.common import table
 
 from . import cases
-from .test_text_operators import WORD, brute_components
+from .test_text_operators import WORD, brute_bits, brute_components, held
 
 SF = "/root/testdata/sf0.001"
 
 
 def brute_language(rows):
-    return [r for r in rows if re.search(r"[^\W\d_]", r["text"] or "")]
+    learn = [(r["lang"], r["text"]) for r in rows if not held(r["doc_id"], 5, 0) and r["lang"] is not None and r["text"] is not None]
+    bits, langs, out = brute_bits(learn), sorted({x for x, _ in learn}), []
+    for r in rows:
+        if re.search(r"[^\W\d_]", r["text"] or ""):
+            costs = [bits(x, r["text"]) for x in langs]
+            if min(costs) <= 6 * len(r["text"].lower().encode()) + 64:
+                out.append({**r, "lang": r["lang"] if r["lang"] is not None else langs[costs.index(min(costs))]})
+    return out
 
 
 def brute_exact(rows):
@@ -60,7 +67,7 @@ def brute_mixing(rows):
         rest, used = target[s] - copies * total[s], 0
         by_hash = defaultdict(list)
         for r in own:
-            by_hash[int(hashlib.md5((str(r["doc_id"]) if r["doc_id"] is not None else "").encode()).hexdigest()[:15], 16)].append(r)
+            by_hash[int(hashlib.md5(f"{'' if r['doc_id'] is None else r['doc_id']}\n{r['text'] or ''}".encode()).hexdigest()[:15], 16)].append(r)
         open_now = True
         for h in sorted(by_hash):
             words = sum(map(size, by_hash[h]))
