@@ -19,7 +19,6 @@ from .sources import datasource as ds
 from .sources.files import listed
 from .sources.sas7bcat import read_sas7bcat
 
-PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 TIME = "spark.sql.timeType.enabled"
 
 
@@ -55,13 +54,14 @@ def scan(
     time_as: str = "time",
     num_partitions: int | None = None,
     true_periods: bool = False,
-    push_filters: bool = False,
+    filters: list[tuple] | None = None,
 ) -> DataFrame:
     """A lazy DataFrame over a statistical file; the extension says which format.
 
-    ``columns`` are all that is decoded (Spark can't prune a Python source by itself). With ``push_filters``, simple
-    filters that follow are evaluated in the source before batches are made; Spark 4.1 then keeps them in the frame, so
-    such a frame is for one query: another one over it without filters would see filtered rows. Rows come in the file's order unless something reorders them;
+    ``columns`` are all that is decoded (Spark can't prune a Python source by itself). ``filters`` are conditions that all
+    hold, such as ``[("age", ">", 30), ("sex", "in", ["f"]), ("income", "is not null")]``, on the file's own values; the
+    source evaluates them before batches are made. They are part of the frame, so it may be used any number of times.
+    Rows come in the file's order unless something reorders them.
     A list of paths, or a pattern with ``*`` or ``?``, is read as one frame: the first file (by name) gives schema and
     labels, tasks read the headers of their own files. ``preserve_order`` adds their place in the file (``row_index``, the last column) or sorts by it (``sort``).
     ``informative_nulls`` keeps user-defined missing codes beside, within or instead of the values. ``time_as``: times of
@@ -84,6 +84,13 @@ def scan(
     ds.register(spark)
     source = reader.source if reader and reader.path == path else ds.open_source(path, fmt, true_periods)
     names = _base_columns(source, columns, nulls, order)
+    tests = [list(f) for f in filters or []]
+    if unknown := {f[0] for f in tests} - {c.name for c in source.columns}:
+        raise ValueError(f"{path} has no column {', '.join(sorted(unknown))}")
+    for f in tests:
+        ds.Test(*f)
+    if names is not None:
+        names += [n for n in dict.fromkeys(f[0] for f in tests) if n not in names]
     tagged = []
     if nulls:
         asked = None if nulls.columns == "all" else set(nulls.columns)
@@ -96,9 +103,7 @@ def scan(
         raise ValueError(f"the file has a column {index!r}; choose another row_index_name")
     if time_as == "time" and any(c.kind == "time" for c in source.wanted(names)):
         spark.conf.set(TIME, "true")
-    if push_filters:
-        spark.conf.set(PUSHDOWN, "true")
-    given = {"columns": json.dumps(names) if names is not None else None, "tagged": json.dumps(tagged), "tagLabels": str(bool(nulls and nulls.use_value_labels)).lower(), "emptyNull": str(missing_string_as_null).lower(), "rowIndex": index, "nRows": n_rows, "offset": offset, "partitions": num_partitions or _partitions(spark, source), "batchRows": batch_size, "timeAs": time_as, "periods": str(true_periods).lower(), "pushdown": str(push_filters).lower(), "files": json.dumps(files) if files else None}
+    given = {"columns": json.dumps(names) if names is not None else None, "tagged": json.dumps(tagged), "tagLabels": str(bool(nulls and nulls.use_value_labels)).lower(), "emptyNull": str(missing_string_as_null).lower(), "rowIndex": index, "nRows": n_rows, "offset": offset, "partitions": num_partitions or _partitions(spark, source), "batchRows": batch_size, "timeAs": time_as, "periods": str(true_periods).lower(), "filters": json.dumps(tests, default=str) if tests else None, "files": json.dumps(files) if files else None}
     df = spark.read.format(fmt).options(**{k: v for k, v in given.items() if v is not None}).load(path)
     if time_as == "string":
         df = df.select(*[clock_text(F.col(f"`{f.name}`")).alias(f.name) if any(c.name == f.name and c.kind == "time" for c in source.columns) else F.col(f"`{f.name}`") for f in df.schema.fields])

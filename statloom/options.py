@@ -20,7 +20,7 @@ def format_of(path: str) -> str:
 
 def _choice(what: str, value, allowed: Sequence[str]) -> None:
     if value not in allowed:
-        raise ValueError(f"{what} must be one of {', '.join(map(repr, allowed))}, not {value!r}")
+        raise ValueError(f"{what}: {value!r} is unknown; choose from {', '.join(allowed)}")
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ class InformativeNulls:
         _choice("informative_nulls mode", self.mode, ("separate_column", "struct", "merged_string"))
         if isinstance(self.columns, str):
             if self.columns != "all":
-                raise ValueError('informative_nulls columns must be "all" or a list of names')
+                raise ValueError('columns of informative_nulls: give names in a list, or "all"')
         else:
             object.__setattr__(self, "columns", tuple(self.columns))
         if self.mode == "separate_column" and not self.suffix:
@@ -45,13 +45,13 @@ class InformativeNulls:
 
 @dataclass(frozen=True)
 class Compress:
-    """Narrow column types to what the values need."""
+    """Narrow column types to what the values need, each kind of narrowing where it is asked for; ``True`` asks for all."""
 
     enabled: bool = False
     cols: tuple[str, ...] | None = None
-    compress_numeric: bool = True
-    datetime_to_date: bool = True
-    string_to_numeric: bool = True
+    compress_numeric: bool = False
+    datetime_to_date: bool = False
+    string_to_numeric: bool = False
     infer_compress_length: int | None = None
 
     def __post_init__(self):
@@ -94,7 +94,7 @@ def informative_nulls(value) -> InformativeNulls | None:
 
 
 def compress(value) -> Compress | None:
-    made = _built(Compress, value, Compress(enabled=True))
+    made = _built(Compress, value, Compress(enabled=True, compress_numeric=True, datetime_to_date=True, string_to_numeric=True))
     return made if made and made.enabled else None
 
 

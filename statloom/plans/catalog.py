@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import metadata as meta
 from ..api import scan, write, write_sas_bundle
+from . import samples
 
 _FOLDER: list[str] = []
 
@@ -50,7 +52,8 @@ def dta_projection_limit_agg(spark, sf):
 
 def dta_pushed_filter(spark, sf):
     path = _stored(spark, _table(spark, sf, "orders"), "orders.dta")
-    return scan(spark, path, columns=["o_orderkey", "o_totalprice"], push_filters=True).filter((F.col("o_totalprice") > 200000) & F.col("o_orderkey").isNotNull()).select(F.col("o_orderkey").cast("bigint"), "o_totalprice")
+    df = scan(spark, path, columns=["o_orderkey", "o_totalprice"], filters=[("o_totalprice", ">", 200_000), ("o_orderkey", "is not null")])
+    return df.select(F.col("o_orderkey").cast("bigint"), "o_totalprice")
 
 
 def dta_rows_and_offset(spark, sf):
@@ -233,13 +236,75 @@ def topk_over_scan(spark, sf):
     return o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select(F.col("o_orderkey").cast("bigint"), "o_totalprice")
 
 
+_CUSTOMER = [("c_custkey", "num", "", ""), ("c_name", 25, "", ""), ("c_nationkey", "num", "", ""), ("c_acctbal", "num", "", ""), ("c_mktsegment", 12, "", "")]
+
+
+def _sas_customer(spark, sf, **kwargs):
+    """Customers as a SAS data set, which the library doesn't write: assembled on the driver."""
+    path = _file("customer.sas7bdat")
+    rows = [(float(r[0]), r[1], float(r[2]), r[3], r[4]) for r in _table(spark, sf, "customer").toLocalIterator()]
+    samples.sas7bdat(pathlib.Path(path), _CUSTOMER, rows, **kwargs)
+    return scan(spark, path).select(F.col("c_custkey").cast("bigint"), "c_name", F.col("c_nationkey").cast("int"), "c_acctbal", "c_mktsegment")
+
+
+def sas7bdat_plain(spark, sf):
+    return _sas_customer(spark, sf, mix=3)
+
+
+def sas7bdat_rle(spark, sf):
+    return _sas_customer(spark, sf, wide=False, end=">", compression="rle")
+
+
+def sas7bdat_rdc(spark, sf):
+    return _sas_customer(spark, sf, compression="rdc")
+
+
+def sas7bcat_labels(spark, sf):
+    data, labels = _file("nation.sas7bdat"), _file("formats.sas7bcat")
+    rows = [(float(r["n_nationkey"]), float(r["n_regionkey"])) for r in _table(spark, sf, "nation").collect()]
+    samples.sas7bdat(pathlib.Path(data), [("KEY", "num", "", ""), ("REGION", "num", "REGFMT", "")], rows)
+    samples.catalog(pathlib.Path(labels), {"REGFMT": [(0, "Africa"), (1, "America")]})
+    out = scan(spark, data, catalog=labels, value_labels_as_strings=True)
+    return out.select(F.col("KEY").cast("int"), "REGION")
+
+
+def _spss_customer(spark, sf, name, compression):
+    path = _file(name)
+    number, text = 5 << 16 | 8 << 8 | 2, 1 << 16
+    cell = lambda v: samples.doubles(v)[0]
+    cells = lambda t, n: [t.encode().ljust(n)[a : a + 8] for a in range(0, n, 8)]
+    rows = [[cell(r[0]), *cells(r[1], 24), cell(r[2]), cell(r[3]), *cells(r[4], 16)] for r in _table(spark, sf, "customer").toLocalIterator()]
+    variables = [("KEY", 0, number, 0, b"", ""), ("NAME", 24, text | 24 << 8, 0, b"", ""), ("NATION", 0, number, 0, b"", ""), ("BALANCE", 0, number, 0, b"", ""), ("SEGMENT", 16, text | 16 << 8, 0, b"", "")]
+    samples.sav(pathlib.Path(path), variables, rows, compression)
+    out = scan(spark, path)
+    return out.select(F.col("KEY").cast("bigint").alias("c_custkey"), F.col("NAME").alias("c_name"), F.col("NATION").cast("int").alias("c_nationkey"), F.col("BALANCE").alias("c_acctbal"), F.col("SEGMENT").alias("c_mktsegment"))
+
+
+def sav_bytecode(spark, sf):
+    return _spss_customer(spark, sf, "customer.sav", 1)
+
+
+def zsav_zlib(spark, sf):
+    return _spss_customer(spark, sf, "customer.zsav", 2)
+
+
+def sav_user_missing(spark, sf):
+    """Regions 3 and 4 are declared missing, 4 with a label: null in the column, told apart beside it."""
+    path, number = _file("nation.sav"), 5 << 16 | 8 << 8
+    rows = [samples.doubles(r["n_nationkey"], r["n_regionkey"]) for r in _table(spark, sf, "nation").collect()]
+    variables = [("KEY", 0, number, 0, b"", ""), ("REGION", 0, number, 2, b"".join(samples.doubles(3, 4)), "")]
+    samples.sav(pathlib.Path(path), variables, rows, 1, labels=[([(samples.doubles(4)[0], "refused")], [2])])
+    out = scan(spark, path, informative_nulls=True, columns=["KEY", "REGION", "REGION_null"])
+    return out.select(F.col("KEY").cast("int"), F.col("REGION").cast("int"), "REGION_null")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         dta_roundtrip_orders, dta_projection_limit_agg, dta_pushed_filter, dta_rows_and_offset, dta_value_labels, dta_informative_separate, dta_informative_struct, dta_informative_merged, dta_compress,
         dta_row_index_sort, dta_sorted_top, dta_long_strings, xpt5_roundtrip_customer, xpt8_long_names, xpt_projection_nonprefix, sav_roundtrip_events, zsav_roundtrip_part, sav_value_labels, sav_long_strings,
         por_roundtrip_nation, por_roundtrip_orders, sas_csv_bundle_lineitem, metadata_merge, catalog_labels, schema_override_cast, time_of_day, join_over_scans, semi_anti_over_scans, window_over_scan,
-        setops_over_scans, rollup_over_scan, topk_over_scan,
+        setops_over_scans, rollup_over_scan, topk_over_scan, sas7bdat_plain, sas7bdat_rle, sas7bdat_rdc, sas7bcat_labels, sav_bytecode, zsav_zlib, sav_user_missing,
     )
 }
 
@@ -277,5 +342,8 @@ ORACLE = {
     "window_over_scan": "SELECT o_orderkey, o_custkey, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 2",
     "setops_over_scans": "SELECT k, op FROM (SELECT n_regionkey AS k, 'both' AS op FROM nation INTERSECT SELECT r_regionkey, 'both' FROM region) UNION ALL SELECT k, op FROM (SELECT n_regionkey AS k, 'rest' AS op FROM nation EXCEPT ALL SELECT r_regionkey, 'rest' FROM region)",
     "rollup_over_scan": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+    **dict.fromkeys(("sas7bdat_plain", "sas7bdat_rle", "sas7bdat_rdc", "sav_bytecode", "zsav_zlib"), "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"),
+    "sas7bcat_labels": "SELECT n_nationkey AS KEY, CASE n_regionkey WHEN 0 THEN 'Africa' WHEN 1 THEN 'America' ELSE CAST(n_regionkey AS VARCHAR) || '.0' END AS REGION FROM nation",
+    "sav_user_missing": "SELECT n_nationkey AS KEY, CASE WHEN n_regionkey < 3 THEN n_regionkey END AS REGION, CASE n_regionkey WHEN 3 THEN '3' WHEN 4 THEN 'refused' END AS REGION_null FROM nation",
     "topk_over_scan": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
 }

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .. import options
 from ..functions.text import INTEGRAL
 from ..operators.transforms import STATA_RANGES, compressed
-from ..options import Compress
-from .encode import numbers, padded, plain, stats, unique_names
+from .encode import fitted, numbers, padded, plain, stats, unique_names
 from .parts import Parts
 
 DAYS, MS = 3_653, 3_653 * 86_400_000
@@ -104,8 +104,7 @@ def _encoder(plans: list[Plan]):
 
 
 def _text(s: str, n: int) -> bytes:
-    b = (s or "").encode()[: n - 1]
-    return b.decode("utf-8", "ignore").encode().ljust(n, b"\0")
+    return fitted(s, n - 1, f"{(s or '')[:20]!r}...").ljust(n, b"\0")
 
 
 def _labels(name: str, labels: dict[int, str]) -> bytes:
@@ -113,7 +112,7 @@ def _labels(name: str, labels: dict[int, str]) -> bytes:
     for code in sorted(labels):
         at.append(len(blob))
         texts.append(code)
-        blob += str(labels[code]).encode()[:32_000] + b"\0"
+        blob += fitted(str(labels[code]), 32_000, f"the label of {code} in {name!r}") + b"\0"
     n = len(texts)
     body = struct.pack("<II", n, len(blob)) + np.array(at, "<u4").tobytes() + np.array(texts, "<i4").tobytes() + blob
     return b"<lbl>" + struct.pack("<I", len(body)) + _text(name, 129) + bytes(3) + body + b"</lbl>"
@@ -126,9 +125,8 @@ def write_dta(df: DataFrame, path: str, value_labels: dict | None = None, variab
         if not f or not f.startswith("%") or len(f) >= 57:
             raise ValueError(f"{f!r} is no Stata format")
     df = plain(df)
-    if compress:
-        opts = compress if isinstance(compress, Compress) else Compress(enabled=True)
-        df = compressed(df, opts, stata=True)
+    if narrow := options.compress(compress):
+        df = compressed(df, narrow, stata=True)
     names = unique_names(df.columns, r"[^A-Za-z0-9_]", 32, "_", RESERVED)
     seen = stats(df)
     plans = [Plan(f, seen, n) for f, n in zip(df.schema.fields, names, strict=True)]
@@ -157,7 +155,7 @@ def write_dta(df: DataFrame, path: str, value_labels: dict | None = None, variab
 
     with Parts(df, path, encode) as parts, open(parts.path, "wb") as out:
         head = f"<stata_dta><header><release>{release}</release><byteorder>LSF</byteorder><K>".encode() + struct.pack("<I" if release == 119 else "<H", len(plans)) + b"</K><N>" + struct.pack("<Q", parts.rows) + b"</N><label>"
-        label = data_label.encode()[:320]
+        label = fitted(data_label, 320, "the data label")
         head += struct.pack("<H", len(label)) + label + b"</label><timestamp>\0</timestamp></header>"
         out.write(head)
         at = [0, out.tell()]

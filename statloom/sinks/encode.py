@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 import re
 
 import numpy as np
@@ -80,3 +81,12 @@ def unique_names(names: list[str], bad: str, most: int, lead: str, reserved: fro
         seen.add(key(x))
         out.append(x)
     return out
+
+
+def fitted(text: str | None, n: int, what: str) -> bytes:
+    """A text's UTF-8 bytes, cut at a character to at most ``n`` with a warning: the format has no room for more."""
+    b = (text or "").encode()
+    if len(b) > n:
+        warnings.warn(f"{what} has {len(b)} bytes, the format has room for {n}: it is cut", stacklevel=3)
+        b = b[:n].decode("utf-8", "ignore").encode()
+    return b

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..sources.base import SPSS_SECONDS
 from ..sources.por import CHARACTERS, to_base30
-from .encode import numbers, plain, stats
+from .encode import fitted, numbers, plain, stats
 from .parts import Parts
 
 VANITY = ("ASCII SPSS PORT FILE".ljust(40) * 5)[:200]
@@ -52,7 +52,7 @@ def write_por(df: DataFrame, path: str, file_label: str = "", variable_labels: d
         if label := (variable_labels or {}).get(f.name):
             head += "C" + _string(label)
     table = "\0" * 64 + CHARACTERS
-    first = VANITY[:60] + (file_label or "")[:20].ljust(20) + VANITY[80:] + "".join(c if c != "\0" else "0" for c in table).ljust(256, "0") + "SPSSPORT" + head + "F"
+    first = VANITY[:60] + fitted(file_label, 20, "the file label").decode().ljust(20) + VANITY[80:] + "".join(c if c != "\0" else "0" for c in table).ljust(256, "0") + "SPSSPORT" + head + "F"
 
     def encode(batch, state):
         cols = [_values(batch.column(k), kind) for k, kind in enumerate(kinds)]

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..sources.base import SPSS_SECONDS
 from ..sources.sav import ALIGNMENTS, FORMAT_NAMES, MEASURES, SYSMIS
-from .encode import numbers, padded, plain, stats
+from .encode import fitted, numbers, padded, plain, stats
 from .parts import Parts
 
 MOST_BYTES = 32_767
@@ -124,7 +124,7 @@ def write_sav(df: DataFrame, path: str, value_labels: dict | None = None, variab
         body, display = b"", []
         for p in plans:
             places[p.name] = at
-            label = ((variable_labels or {}).get(p.name) or "").encode()[:255]
+            label = fitted((variable_labels or {}).get(p.name), 255, f"the label of {p.name!r}")
             for k, w in enumerate(p.segments() if p.text else [0]):
                 short = p.short if k == 0 else short_names([q.short for q in plans] + heads + [p.short])[-1]
                 heads.append(short)
@@ -159,6 +159,6 @@ def write_sav(df: DataFrame, path: str, value_labels: dict | None = None, variab
         now = time.gmtime()
         rows = parts.rows if parts.rows < 2**31 else -1
         out.write(b"$FL2" + b"@(#) SPSS DATA FILE statloom".ljust(60) + struct.pack("<iiiii", 2, at - 1, 0, 0, rows) + struct.pack("<d", 100.0))
-        out.write(time.strftime("%d %b %y%H:%M:%S", now).encode() + file_label.encode()[:64].ljust(64) + bytes(3))
+        out.write(time.strftime("%d %b %y%H:%M:%S", now).encode() + fitted(file_label, 64, "the file label").ljust(64) + bytes(3))
         out.write(body + struct.pack("<ii", 999, 0))
         parts.into(out)

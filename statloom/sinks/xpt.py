@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..sources.xpt import CARD, ieee_to_ibm
-from .encode import numbers, padded, plain, stats
+from .encode import fitted, numbers, padded, plain, stats
 from .parts import Parts
 
 DAYS = 3_653
@@ -68,16 +68,16 @@ def write_xpt(df: DataFrame, path: str, version: int = 8, table_name: str | None
         return np.concatenate(cols, axis=1).tobytes(), b""
 
     now = time.strftime("%d%b%y:%H:%M:%S", time.gmtime()).upper()
-    table = (table_name or "DATASET")[:most]
+    table = fitted(table_name or "DATASET", most, "the table's name").decode()
     lib, mem, des, obs = ("LIBRARY", "MEMBER ", "DSCRPTR", "OBS    ") if version == 5 else ("LIBV8  ", "MEMBV8 ", "DSCPTV8", "OBSV8  ")
     head = lambda what, tail="0" * 30: _card(f"HEADER RECORD*******{what.ljust(8)}HEADER RECORD!!!!!!!{tail}  ")
     out_head = head(lib) + _card(f"{'SAS':8}{'SAS':8}{'SASLIB':8}{'9.4':8}{'':8}{'':24}{now}") + _card(now)
     out_head += head(mem, "000000000000000001600000000140") + head(des)
-    out_head += _card(f"{'SAS':8}{table:{most}}{'SASDATA':8}{'9.4':8}{'':8}{'':{24 if version == 5 else 0}}{now}") + _card(f"{now}{'':16}{file_label[:40]:40}")
+    out_head += _card(f"{'SAS':8}{table:{most}}{'SASDATA':8}{'9.4':8}{'':8}{'':{24 if version == 5 else 0}}{now}") + _card(f"{now}{'':16}{fitted(file_label, 40, 'the file label').decode():40}")
     out_head += _card(f"HEADER RECORD*******{('NAMESTR' if version == 5 else 'NAMSTV8').ljust(8)}HEADER RECORD!!!!!!!{len(fields):010d}{'0' * 20}  ")
     body, at, long = b"", 0, []
     for k, (name, _, text, width, fmt, w, d) in enumerate(fields):
-        label = (labels.get(name) or "").encode()
+        label = fitted(labels.get(name), 40 if version == 5 else 32_000, f"the label of {name!r}")
         b = struct.pack(">hhhh", 2 if text else 1, 0, width, k + 1) + name[:8].ljust(8).encode() + label[:40].ljust(40)
         b += fmt[:8].ljust(8).encode() + struct.pack(">hhh", w, d, 1 if text else 0) + bytes(2) + b" " * 8 + struct.pack(">hh", 0, 0) + struct.pack(">i", at)
         b += name.ljust(32).encode() + struct.pack(">h", len(label)) + bytes(18) if version == 8 else bytes(52)

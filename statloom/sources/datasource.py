@@ -2,7 +2,7 @@
 
 Options: ``columns`` (JSON list; nothing else is decoded), ``tagged`` (JSON list of columns whose missing codes come as
 ``<name>\\x01tag``), ``tagLabels``, ``emptyNull``, ``rowIndex`` (name of a column with the row's place in the file), ``nRows``, ``offset``,
-``partitions``, ``batchRows``, ``timeAs``, ``periods``, ``pushdown``.
+``partitions``, ``batchRows``, ``timeAs``, ``periods``, ``filters`` (JSON list of [column, operator, value]).
 """
 
 from __future__ import annotations
@@ -74,7 +74,8 @@ class _Options:
         self.columns = json.loads(options["columns"]) if options.get("columns") else None
         self.tagged = json.loads(options.get("tagged") or "[]")
         self.tag_labels = flag("tagLabels")
-        self.empty_null, self.periods, self.pushdown = flag("emptyNull"), flag("periods"), flag("pushdown")
+        self.empty_null, self.periods = flag("emptyNull"), flag("periods")
+        self.tests = [Test(*f) for f in json.loads(options.get("filters") or "[]")]
         self.index, self.time_as = options.get("rowIndex") or None, options.get("timeAs") or "time"
         self.rows, self.offset, self.partitions, self.batch = number("nRows"), number("offset") or 0, number("partitions"), number("batchRows")
 
@@ -102,7 +103,7 @@ def _tag_names(c) -> dict:
 
 class Reader(DataSourceReader):
     def __init__(self, options: _Options, schema: T.StructType):
-        self.o, self.filters = options, []
+        self.o = options
         self.source = options.source()
         self.names = [f.name for f in schema.fields if f.name != options.index and not f.name.endswith(TAG)]
         self.fields = [(f.name, f.dataType) for f in schema.fields]
@@ -123,7 +124,7 @@ class Reader(DataSourceReader):
             start, count = a, b - a
             _same(self.source, source, self.names)
         source.resume = partition.resume
-        yield from decode(source, self.o, self.fields, self.names, start, count, self.filters)
+        yield from decode(source, self.o, self.fields, self.names, start, count)
 
 
 def _same(first: Source, other: Source, names: list[str]) -> None:
@@ -134,8 +135,8 @@ def _same(first: Source, other: Source, names: list[str]) -> None:
             raise ValueError(f"{other.path}: {c.name!r} is of kind {kinds[c.name]}, in {first.path} of kind {c.kind}")
 
 
-def decode(source: Source, o: _Options, fields, names, start: int, count: int, filters) -> Iterator[pa.RecordBatch]:
-    """Record batches of rows, filtered by what was pushed down."""
+def decode(source: Source, o: _Options, fields, names, start: int, count: int) -> Iterator[pa.RecordBatch]:
+    """Record batches of the rows that pass the filters."""
     if count <= 0:
         return
     step, tagged = batch_rows(len(names), o.batch), {n for n, _ in fields if n.endswith(TAG)}
@@ -156,48 +157,41 @@ def decode(source: Source, o: _Options, fields, names, start: int, count: int, f
                     a = pc.divide(a, 1000) if o.time_as != "time" else a.cast(KINDS["time"][1])
                 arrays.append(a)
         batch = pa.RecordBatch.from_arrays(arrays, [n for n, _ in fields])
-        for f in filters:
-            batch = batch.filter(f(batch))
+        for test in o.tests:
+            batch = batch.filter(test(batch))
         if batch.num_rows:
             yield batch
 
 
-def _test(f):
-    """A filter as a function of a batch, or None if it is left to Spark."""
-    from pyspark.sql import datasource as D
-
-    compare = {D.EqualTo: pc.equal, D.GreaterThan: pc.greater, D.GreaterThanOrEqual: pc.greater_equal, D.LessThan: pc.less, D.LessThanOrEqual: pc.less_equal}
-    if isinstance(f, D.Not):
-        inner = _test(f.child)
-        return inner and (lambda b: pc.invert(inner(b)))
-    if len(getattr(f, "attribute", ())) != 1:
-        return None
-    name = f.attribute[0]
-    if isinstance(f, D.IsNull):
-        return lambda b: pc.is_null(b.column(name))
-    if isinstance(f, D.IsNotNull):
-        return lambda b: pc.is_valid(b.column(name))
-    if type(f) in compare and f.value is not None:
-        op = compare[type(f)]
-        return lambda b: op(b.column(name), pa.scalar(f.value, b.column(name).type))
-    if isinstance(f, D.In) and all(v is not None for v in f.value):
-        def inside(b):
-            col = b.column(name)
-            return pc.if_else(pc.is_valid(col), pc.is_in(col, pa.array(list(f.value), col.type)), None)
-
-        return inside
-    return None
-
-
-class PushingReader(Reader):
-    """Made only where filter pushdown is on: Spark rejects plans over readers that define pushFilters otherwise."""
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if (test := _test(f)) is None:
-                yield f
-            else:
-                self.filters.append(test)
+COMPARE = {"=": pc.equal, "==": pc.equal, "!=": pc.not_equal, "<>": pc.not_equal, "<": pc.less, "<=": pc.less_equal, ">": pc.greater, ">=": pc.greater_equal}
+
+
+class Test:
+    """A condition on a column as a function of a batch; as in SQL, one that is null doesn't hold. Values may be given as text."""
+
+    def __init__(self, name: str, op: str, value=None):
+        self.name, self.op, self.value = name, op.lower().strip(), value
+        if self.op not in COMPARE and self.op not in ("in", "not in", "is null", "is not null"):
+            raise ValueError(f"unknown operator {op!r} in a filter")
+        if (value is None) != self.op.startswith("is ") or self.op.endswith("in") and any(v is None for v in value):
+            raise ValueError(f"the filter {name!r} {op} needs {'no value' if self.op.startswith('is ') else 'values that are not null'}")
+
+    def __call__(self, batch: pa.RecordBatch) -> pa.Array:
+        col = batch.column(self.name)
+        if self.op.startswith("is "):
+            return pc.is_null(col) if self.op == "is null" else pc.is_valid(col)
+        if self.op in COMPARE:
+            return COMPARE[self.op](col, _cast([self.value], col.type)[0])
+        found = pc.is_in(col, _cast(self.value, col.type))
+        return pc.and_(pc.is_valid(col), found if self.op == "in" else pc.invert(found))
+
+
+def _cast(values: list, kind: pa.DataType) -> pa.Array:
+    """The values in a column's type, or in a wider one where they don't fit it."""
+    made = pa.array(values)
+    if pa.types.is_integer(kind) or pa.types.is_floating(kind):
+        return made.cast(pa.float64()) if pa.types.is_floating(made.type) else made
+    return made.cast(kind)
 
 
 class _Statistical(DataSource):
@@ -219,7 +213,7 @@ class _Statistical(DataSource):
 
     def reader(self, schema):
         o = _Options(self.fmt, self.options)
-        return (PushingReader if o.pushdown else Reader)(o, schema)
+        return Reader(o, schema)
 
     def streamReader(self, schema):
         return FolderReader(_Options(self.fmt, self.options), schema)
@@ -233,27 +227,31 @@ def _listed(folder: str, fmt: str) -> list[str]:
 
 
 class FolderReader(DataSourceStreamReader):
-    """New files of a folder as micro-batches, in the order of their times. Files mustn't be removed or changed."""
+    """New files of a folder as micro-batches, in the order of their times. An offset holds the names of all files seen, so
+    each is read once, whatever its time. Files mustn't be removed or changed."""
 
     def __init__(self, options: _Options, schema: T.StructType):
         self.o, self.fields = options, [(f.name, f.dataType) for f in schema.fields]
         self.names = [n for n, _ in self.fields if n != options.index and not n.endswith(TAG)]
 
     def initialOffset(self):
-        return {"files": 0}
+        return {"files": []}
 
     def latestOffset(self):
-        return {"files": len(_listed(self.o.path, self.o.fmt))}
+        return {"files": [os.path.basename(p) for p in _listed(self.o.path, self.o.fmt)]}
 
     def partitions(self, start, end):
-        out = []
-        for path in _listed(self.o.path, self.o.fmt)[start["files"] : end["files"]]:
+        out, before = [], set(start["files"])
+        for path in (os.path.join(self.o.path, n) for n in end["files"] if n not in before):
             s = self.o.source(path)
-            out += [Rows(a, k, path) for a, k in s.splits(self.o.partitions or max(1, s.bytes_of_rows() // SPLIT_BYTES))]
+            found = s.splits(self.o.partitions or max(1, s.bytes_of_rows() // SPLIT_BYTES))
+            out += [Rows(a, k, path, s.resume_at(a)) for a, k in found]
         return out
 
     def read(self, partition: Rows):
-        yield from decode(self.o.source(partition.path), self.o, self.fields, self.names, partition.start, partition.count, [])
+        source = self.o.source(partition.path)
+        source.resume = partition.resume
+        yield from decode(source, self.o, self.fields, self.names, partition.start, partition.count)
 
 
 SOURCES = [type(f.capitalize() + "DataSource", (_Statistical,), {"fmt": f, "__module__": __name__}) for f in READERS]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from bisect import bisect_right
 
@@ -18,8 +19,35 @@ MAGIC = bytes(12) + bytes.fromhex("c2ea8160b31411cfbd92080009c7318c181f1011")
 ROW_SIZE, COLUMN_SIZE, COUNTS, FORMAT, ATTRIBUTES, TEXT, LIST, NAME = 0xF7F7F7F7, 0xF6F6F6F6, 0xFFFFFC00, 0xFFFFFBFE, 0xFFFFFFFC, 0xFFFFFFFD, 0xFFFFFFFE, 0xFFFFFFFF
 KNOWN = {ROW_SIZE, COLUMN_SIZE, COUNTS, FORMAT, ATTRIBUTES, TEXT, LIST, NAME}
 DATA, MIX, META = 0x100, 0x200, 0x000
-#: Character sets by the header's encoding byte.
-CHARSETS = {20: "utf-8", 28: "us-ascii", 29: "latin-1", 30: "iso8859-2", 31: "iso8859-3", 32: "iso8859-4", 33: "iso8859-5", 34: "iso8859-6", 35: "iso8859-7", 36: "iso8859-8", 37: "iso8859-9", 39: "iso8859-11", 40: "iso8859-15", 41: "cp437", 42: "cp850", 43: "cp852", 44: "cp857", 45: "cp858", 46: "cp862", 47: "cp864", 48: "cp865", 49: "cp866", 50: "cp869", 51: "cp874", 55: "cp720", 56: "cp737", 57: "cp775", 58: "cp860", 59: "cp863", 60: "cp1250", 61: "cp1251", 62: "cp1252", 63: "cp1253", 64: "cp1254", 65: "cp1255", 66: "cp1256", 67: "cp1257", 68: "cp1258", 118: "cp950", 123: "big5", 125: "gb2312", 126: "cp936", 134: "euc-jp", 136: "cp932", 138: "shift-jis", 140: "euc-kr", 141: "cp949", 205: "gb18030", 227: "iso8859-14"}
+#: Character sets by the header's encoding byte; the nearest one where Python lacks the set named after it.
+CHARSETS = {
+    20: "utf-8", 28: "us-ascii", 29: "latin-1", 30: "iso8859-2", 31: "iso8859-3", 32: "iso8859-4", 33: "iso8859-5", 34: "iso8859-6", 35: "iso8859-7", 36: "iso8859-8", 37: "iso8859-9",
+    39: "iso8859-11", 40: "iso8859-15", 41: "cp437", 42: "cp850", 43: "cp852", 44: "cp857", 45: "cp858", 46: "cp862", 47: "cp864", 48: "cp865", 49: "cp866", 50: "cp869", 51: "cp874",
+    52: "iso8859-13",  # cp921
+    53: "cp1252",  # cp922
+    54: "cp1258",  # cp1129
+    55: "cp720", 56: "cp737", 57: "cp775", 58: "cp860", 59: "cp863", 60: "cp1250", 61: "cp1251", 62: "cp1252", 63: "cp1253", 64: "cp1254", 65: "cp1255", 66: "cp1256", 67: "cp1257", 68: "cp1258",
+    69: "mac-roman", 70: "mac-arabic",
+    71: "mac-roman",  # Mac Hebrew
+    72: "mac-greek",
+    73: "tis-620",  # Mac Thai
+    75: "mac-turkish",
+    76: "mac-cyrillic",  # Mac Ukraine
+    118: "cp950",
+    119: "big5",  # EUC-TW
+    123: "big5hkscs", 125: "gb18030", 126: "cp936",
+    128: "gb18030",  # cp1381
+    134: "euc-jp", 136: "cp949",
+    137: "cp932",  # cp942
+    138: "cp932", 140: "euc-kr", 141: "cp949", 142: "cp949", 163: "mac-iceland", 167: "iso2022_jp", 168: "iso2022_kr",
+    169: "gb18030",  # ISO-2022-CN
+    172: "gb18030",  # ISO-2022-CN-EXT
+    205: "gb18030", 227: "iso8859-14", 242: "iso8859-13", 245: "mac-croatian", 246: "mac-cyrillic", 247: "mac-romanian", 248: "shift_jisx0213",
+}
+#: A date column's number of days since 1960 outside these, which are the years 1600 and 2389, is taken for seconds.
+LEAST_DAY, MOST_DAY = -135_080, 156_935
+#: Releases of a program that pads rows on metadata pages by four bytes only where these are zeros or blanks.
+TRANSFER = re.compile(r"[89]\.0000M0")
 
 
 class Header:
@@ -76,10 +104,8 @@ class Sas7bdat(Source):
         return high if self.h.wide and high in KNOWN and high != NAME and low not in (ROW_SIZE, COLUMN_SIZE) and high != 0 else low
 
     def _is_row(self, page: bytes, at: int, n: int, packed: int, kind: int) -> bool:
-        """Whether a subheader is a row of a compressed data set: marked so, or of a row's length and no known kind."""
-        if not n or not self.compression:
-            return False
-        return packed == 4 or kind == 1 and packed == 0 and n == self.record and self._signature(page, at) not in KNOWN
+        """Whether a subheader is a row of a compressed data set: of the rows' type, no longer than one, of no known kind."""
+        return bool(n and self.compression and kind == 1 and packed in (0, 4) and n <= self.record and self._signature(page, at) not in KNOWN)
 
     def _scan(self, f) -> None:
         row = 0
@@ -95,7 +121,7 @@ class Sas7bdat(Source):
                 f.seek(self.h.size + k * self.h.page_size)
                 full = f.read(self.h.page_size)
                 for at, n, packed, what in self._pointers(full, subs):
-                    if n and packed not in (1, 4) and not self._is_row(full, at, n, packed, what):
+                    if n and packed != 1 and not self._is_row(full, at, n, packed, what):
                         self._subheader(full[at : at + n], self._signature(full, at))
             n = self._page_rows(full, kind, blocks, subs, row)
             if n:
@@ -103,7 +129,8 @@ class Sas7bdat(Source):
                 row += n
             if self.rows and row >= self.rows and self.record:
                 break
-        self.rows = min(self.rows, row)
+        if row < self.rows and self.record:
+            raise SasError(f"{self.path} has {row} rows, but its header says {self.rows}")
 
     def _page_rows(self, page, kind, blocks, subs, row) -> int:
         left = self.rows - row
@@ -162,11 +189,14 @@ class Sas7bdat(Source):
             return np.frombuffer(b"".join(out), np.uint8).reshape(-1, self.record)
         else:
             at, n = s + 8 + subs * 3 * w, self.mix_rows or self.rows
-            if at % 8 == 4 and page[at : at + 4] in (bytes(4), b" " * 4):
+            if at % 8 == 4 and (not self._transfer() or page[at : at + 4] in (bytes(4), b" " * 4)):
                 at += 4
         n = min(n, (len(page) - at) // self.record)
         return np.frombuffer(page, np.uint8, n * self.record, at).reshape(n, self.record)
 
+    def _transfer(self) -> bool:
+        return bool(TRANSFER.match(self.h.release))
+
     def records(self, start, count, step):
         stop = min(start + count, self.rows)
         firsts = [r for r, _ in self.spans]
@@ -201,7 +231,7 @@ class Sas7bdat(Source):
         v = np.where(null, 0.0, v)
         if c.kind == "date":
             days = np.trunc(v) - SAS_DAYS
-            days = np.where((days < -135_080) | (days > 156_935), np.trunc(v / 86_400) - SAS_DAYS, days)
+            days = np.where((days < LEAST_DAY) | (days > MOST_DAY), np.trunc(v / 86_400) - SAS_DAYS, days)
             return array(days, null, "date"), tag
         if c.kind == "timestamp":
             return array(np.trunc((v - SAS_DAYS * 86_400) * 1e6), null, "timestamp"), tag

@@ -90,10 +90,15 @@ def test_partitions_projection_limits_and_filters_agree(spark, tmp_path):
         assert rows(statloom.scan(spark, path, num_partitions=n, batch_size=100)) == full
     assert rows(statloom.scan(spark, path, columns=["s", "a"])) == [(r[2], r[0]) for r in full]
     assert rows(statloom.scan(spark, path, offset=1234, n_rows=77)) == full[1234:1311] and rows(statloom.scan(spark, path, n_rows=0)) == []
-    pushed = lambda: statloom.scan(spark, path, push_filters=True)
-    for df in (pushed, lambda: statloom.scan(spark, path)):
-        assert rows(df().filter("a > 4000 and s in ('r1', 'r2') and b is not null")) == [r for r in full if r[0] > 4000 and r[2] in ("r1", "r2")]
-        assert rows(df().filter("not (a >= 10)")) == full[:10] and df().filter("s = 'r5'").count() == sum(r[2] == "r5" for r in full)
+    pushed = statloom.scan(spark, path, filters=[("a", ">", 4000), ("s", "in", ["r1", "r2"]), ("b", "is not null")])
+    assert rows(pushed) == [r for r in full if r[0] > 4000 and r[2] in ("r1", "r2")]
+    assert rows(statloom.scan(spark, path, columns=["s"], filters=[("a", "<", 10), ("b", "<", "1")[:2] + (1,)])) == [(r[2],) for r in full[:7]]
+    # a filtered frame answers every query, narrowed or not, and the session pushes nothing else
+    some = statloom.scan(spark, path, filters=[("a", "<", 100)])
+    assert some.filter("a < 5").count() == 5 and some.count() == 100 and some.filter("a >= 5").count() == 95
+    for bad in ([("a", "~", 1)], [("a", "=", None)], [("nothing", "=", 1)]):
+        with pytest.raises(ValueError):
+            statloom.scan(spark, path, filters=bad)
     df = statloom.scan(spark, path)
     assert rows(df.filter("a > 4000 and s in ('r1', 'r2') and b is not null")) == [r for r in full if r[0] > 4000 and r[2] in ("r1", "r2")]
     assert rows(df.filter("not (a >= 10)")) == full[:10] and df.filter("s = 'r5'").count() == sum(r[2] == "r5" for r in full)
@@ -141,6 +146,31 @@ def test_sas7bdat(spark, tmp_path, wide, end, kind):
     assert rows(statloom.scan(spark, str(path), columns=["x", "id"], offset=150, n_rows=3)) == [(k / 3, float(k)) for k in (150, 151, 152)]
 
 
+def test_sas_rows_that_are_missing_or_look_like_headers(spark, tmp_path):
+    path = tmp_path / "x.sas7bdat"
+    build.sas7bdat(path, COLUMNS, DATA, True, "<", None, 0)
+    path.write_bytes(path.read_bytes()[:-4096])
+    with pytest.raises(SasError, match="its header says"):
+        Sas7bdat(str(path))
+    # a metadata page's rows start after four bytes of padding, whatever these hold
+    for release, ok in ((b"9.0401M1", True), (b"9.0000M0", False)):
+        build.sas7bdat(path, COLUMNS, DATA, False, "<", None, 7)
+        raw = bytearray(path.read_bytes())
+        raw[216 + 4 : 224 + 4] = release
+        subs = int.from_bytes(raw[1024 + 20 : 1024 + 22], "little")
+        at = 16 + 8 + subs * 12
+        if at % 8 == 4:
+            raw[1024 + at : 1024 + at + 4] = b"\1\2\3\4"
+            path.write_bytes(raw)
+            assert (rows(statloom.scan(spark, str(path)))[0] == rows_of_data(spark, tmp_path)[0]) == ok
+
+
+def rows_of_data(spark, tmp_path):
+    path = tmp_path / "plain.sas7bdat"
+    build.sas7bdat(path, COLUMNS, DATA, True, "<", None, 0)
+    return rows(statloom.scan(spark, str(path)))
+
+
 def test_sas_missing_codes_and_catalog(spark, tmp_path):
     path = tmp_path / "m.sas7bdat"
     tags = [ord("X"), ord("_"), ord("."), 0, 2, 27]

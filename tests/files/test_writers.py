@@ -129,7 +129,8 @@ def test_compress(spark, tmp_path):
     assert rows(df)[0] == (1, 1, 2.0**31, 1.5, False, None, dt.date(2020, 1, 1), "q")
     odd = str(tmp_path / "o.dta")
     statloom.write(spark.createDataFrame([("1",), ("2",), ("not_a_number",)], "n string").coalesce(1), odd)
-    assert rows(statloom.scan(spark, odd, compress={"enabled": True, "infer_compress_length": 2})) == [(1,), (2,), (None,)]
+    assert rows(statloom.scan(spark, odd, compress={"enabled": True, "string_to_numeric": True, "infer_compress_length": 2})) == [(1,), (2,), (None,)]
+    assert statloom.scan(spark, path, compress={"enabled": True}).drop("none").dtypes == statloom.scan(spark, path).drop("none").dtypes
     assert statloom.scan(spark, odd, compress={"enabled": False}).dtypes == [("n", "string")]
     with pytest.raises(Exception, match="CAST_OVERFLOW|overflow"):
         statloom.scan(spark, path, schema_overrides={"over": "int"}).collect()
@@ -152,3 +153,25 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     found = [r for f in sorted((tmp_path / "out").iterdir()) if f.suffix == ".dta" for r in rows(statloom.scan(spark, str(f)))]
     assert sorted(found) == [(0.0, "r0"), (1.0, "r1"), (5.0, "late"), (10.0, "x"), (11.0, "x")]
+
+
+def test_labels_that_are_cut_warn(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "A int")
+    for name in ("x.dta", "x.sav", "x.xpt"):
+        with pytest.warns(UserWarning, match="room for"):
+            statloom.write(df, str(tmp_path / name), variable_labels={"A": "é" * 40_000}, **({"version": 5} if name == "x.xpt" else {}))
+        assert set(statloom.StatReader(spark, str(tmp_path / name)).metadata_df.first()["label"]) == {"é"}
+
+
+def test_stream_reads_files_of_older_times(spark, tmp_path):
+    import os
+
+    from statloom.sources.datasource import FolderReader, _Options
+
+    for k, name in enumerate(("b.dta", "a.dta")):
+        statloom.write(spark.createDataFrame([(k,)], "n int"), str(tmp_path / name))
+        os.utime(tmp_path / name, (1000 - k, 1000 - k))
+        if k == 0:
+            reader = FolderReader(_Options("dta", {"path": str(tmp_path)}), spark.createDataFrame([], "n int").schema)
+            first = reader.latestOffset()
+    assert [os.path.basename(p.path) for p in reader.partitions(first, reader.latestOffset())] == ["a.dta"]
