@@ -14,22 +14,22 @@ BUNDLE_BYTES = 4 << 20
 SCHEMA = "bundle long, ids array<long>, texts array<string>"
 
 
-def bundled(docs: DataFrame, id_col: str, text: str, size: int = BUNDLE_BYTES) -> DataFrame:
+def bundled(docs: DataFrame, id_col: str, text: str, size: int = BUNDLE_BYTES, batch: int = 0) -> DataFrame:
     """Rows (bundle, ids, texts) of about ``size`` bytes of text; a longer text is a bundle of its own. Bundle numbers
-    hold only for one evaluation, so the result must be written before it is used twice."""
+    hold only for one evaluation, so the result must be written before it is used twice; those of different batches differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         ids: list = []
         texts: list = []
-        held, number = 0, TaskContext.get().partitionId() << 32
+        held, number = 0, batch << 47 | TaskContext.get().partitionId() << 23
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))], ["bundle", "ids", "texts"])
 
-        for batch in batches:
-            for i, t in zip(batch.column(0), batch.column(1), strict=True):
+        for some in batches:
+            for i, t in zip(some.column(0), some.column(1), strict=True):
                 t = t.as_py() or ""
                 if ids and held + len(t) > size:
                     yield flush()

@@ -48,24 +48,31 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors. Removed when the
-    application ends, or earlier by :func:`dropped` or the end of a :func:`scratch` scope.
+    application ends, or earlier by :func:`dropped` or the end of a :func:`scratch` scope; one in a ``folder`` of the
+    caller's stays until it is dropped.
 
     Shuffle files go when the query ends, not when the driver collects garbage; Python workers get small batches; row
     groups are small, because a reader decodes one whole and rows may hold megabytes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{folder or shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
     with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}):
         df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = stored(spark, path, df.schema)
+    if folder is None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+        if (noted := _NOTED.get()) is not None:
+            noted.append(out)
+    return out
+
+
+def stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table that :func:`written` made."""
+    out = spark.read.schema(schema).parquet(path)
     out._statloom_path = path
-    if (noted := _NOTED.get()) is not None:
-        noted.append(out)
     return out
 
 

@@ -136,6 +136,28 @@ def test_substring_dedup(spark, batches):
     assert substring_dedup.dedup(cases.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 16])
+def test_substring_dedup_of_clashing_fingerprints(spark, monkeypatch, sent):
+    monkeypatch.setattr(substring_dedup, "FINGERPRINT_BITS", 8)
+    monkeypatch.setattr(substring_dedup, "MOST_SENT", sent)
+    for df, rows in [(cases.frame(spark), [(r[0], r[1], r[3]) for r in cases.rows()]), (table(spark, "/root/testdata/sf0.001", "documents"), None)]:
+        rows = rows or [tuple(r) for r in df.select("doc_id", "text", "source").collect()]
+        found = substring_dedup.dedup(df)
+        same(found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), brute_substrings(rows))
+
+
+def test_substring_index_over_sessions(spark, tmp_path):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    cuts, found = sorted(r[0] for r in rows)[:: len(rows) // 4][1:4], []
+    folder = f"file://{tmp_path}/index"
+    for a, b in zip([-1, *cuts], [*cuts, 1 << 60]):  # each batch opens what the one before left
+        index = substring_dedup.WindowIndex(spark, 4, folder=folder)
+        found += index.add(docs.filter((F.col("doc_id") > a) & (F.col("doc_id") <= b))).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    same(found, brute_substrings(rows))
+    assert [level for level, _ in substring_dedup.WindowIndex(spark, folder=folder).runs] == [2]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
