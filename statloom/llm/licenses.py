@@ -1,10 +1,11 @@
 """Licence scans by a positional rare-token index.
 
-Every template is a sequence of words, and an index holds all of them with their places. A template's anchors in a file
-that has all its mandatory words are the rarest, by document frequency over the whole corpus, of its words that the file
-has, and the rarest of each mandatory phrase. They propose alignments (their place less the anchor's place in the
-template); proposals that several anchors share come first, and one counts if the template's mandatory phrases stand at
-their places and enough of its other words do. No place where they all stand is missed, as their rarest words propose it.
+Every template is a sequence of words, some of them in mandatory phrases, and the index holds its anchors: of each mandatory
+phrase the words with the highest inverse document frequency over the whole corpus, with their places. A file is looked
+up by its places of those words, the rarest ones first: each gives the alignments (its place less the anchor's place in
+the template) that it allows, and the lists are intersected, so that a template whose rarest word a file lacks costs one
+look-up. What is left is verified: the mandatory phrases must stand at their places, and enough of the other words. As
+they must stand there, no alignment that would be verified is lost by intersecting.
 """
 
 from __future__ import annotations
@@ -33,8 +34,17 @@ TEMPLATES = {
     "isc": "[permission to use copy modify and or distribute this software] for any purpose with or without fee is hereby granted",
     "cc": "[creative commons attribution]",
     "unlicense": "this is [free and unencumbered software released into the public domain]",
+    "boost": "permission is hereby granted free of charge to [any person or organization obtaining a copy of the software] and accompanying documentation",
+    "zlib": "[this software is provided as is without any express or implied warranty] in no event will the authors be held liable for any damages",
+    "epl": "this program and the accompanying materials are made available under the terms of the [eclipse public license]",
+    "cddl": "subject to the terms of the [common development and distribution license]",
+    "eupl": "licensed under the [european union public licence]",
+    "ofl": "this font software is licensed under the [sil open font license]",
+    "psf": "[python software foundation license]",
+    "cc0": "[cc0 1 0 universal]",
 }
-ANCHORS, LEAST = 3, 0.6
+#: Anchors of a mandatory phrase, and the share of a template's words that must stand in their places.
+ANCHORS, LEAST = 2, 0.6
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -57,45 +67,43 @@ class Index:
     def __init__(self, frequency: dict[bytes, int], documents: int):
         self.templates = [(label, True, *_parse(f"[{p}]")) for p, label in PHRASES.items()] + [(label, False, *_parse(t)) for label, t in TEMPLATES.items()]
         self.idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for t in self.templates for w in t[2]}
-        self.places: list[dict[bytes, list[int]]] = []
-        self.ranked, self.rarest, self.musts = [], [], []
+        #: Of each template, its anchors as (word, place), the rarest first.
+        self.anchors: list[list[tuple[bytes, int]]] = []
         for _, _, own, must in self.templates:
-            rank = lambda w: (-self.idf[w], w)
-            self.places.append({w: [j for j, x in enumerate(own) if x == w] for w in set(own)})
-            self.ranked.append(sorted(set(own), key=rank))
-            self.rarest.append({min(own[m.start : m.stop], key=rank) for m in must})
-            self.musts.append(frozenset(w for m in must for w in own[m.start : m.stop]))
-        self.vocabulary = frozenset(self.idf)
-
-    def _anchors(self, have: frozenset[bytes]) -> dict[bytes, list[tuple[int, int]]]:
-        """The anchors of a file with these words, and the templates and places where they stand."""
-        post: dict[bytes, list[tuple[int, int]]] = {}
-        for k, must in enumerate(self.musts):
-            if must <= have:
-                most = 1 if self.templates[k][1] else ANCHORS
-                for w in self.rarest[k].union([w for w in self.ranked[k] if w in have][:most]):
-                    post.setdefault(w, []).extend((k, j) for j in self.places[k][w])
-        return post
+            rank = lambda j, own=own: (-self.idf[own[j]], own[j], j)
+            self.anchors.append([(own[j], j) for j in sorted({j for m in must for j in sorted(m, key=rank)[:ANCHORS]}, key=rank)])
+        self.vocabulary = frozenset(w for a in self.anchors for w, _ in a)
+
+    def _aligned(self, k: int, places: dict[bytes, list[int]]) -> set[int]:
+        """Where a template may start: alignments that all its anchors allow."""
+        found: set[int] | None = None
+        for w, j in self.anchors[k]:
+            if w not in places:
+                return set()
+            own = {i - j for i in places[w]}
+            found = own if found is None else found & own
+            if not found:
+                break
+        return found or set()
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """Places and labels of the base phrases, in order; labels with the best share of a template's words."""
-        post = self._anchors(self.vocabulary.intersection(words))
-        if not post:
+        if self.vocabulary.isdisjoint(words):
             return [], {}
-        votes: Counter[tuple[int, int]] = Counter()
+        places: dict[bytes, list[int]] = {}
         for i, w in enumerate(words):
-            if w in post:
-                votes.update((k, i - j) for k, j in post[w])
-        base, found = set(), {}
-        for (k, at), _ in votes.most_common():
-            label, phrase, own, must = self.templates[k]
-            if at < 0 and phrase or any(at + m.start < 0 or words[at + m.start : at + m.stop] != own[m.start : m.stop] for m in must):
-                continue
-            share = sum(0 <= at + j < len(words) and words[at + j] == w for j, w in enumerate(own)) / len(own)
-            if phrase:
-                base.add((at, label))
-            if share >= LEAST:
-                found[label] = max(found.get(label, 0.0), share)
+            if w in self.vocabulary:
+                places.setdefault(w, []).append(i)
+        base, found = [], {}
+        for k, (label, phrase, own, must) in enumerate(self.templates):
+            for at in self._aligned(k, places):
+                if any(at + m.start < 0 or words[at + m.start : at + m.stop] != own[m.start : m.stop] for m in must):
+                    continue
+                share = sum(0 <= at + j < len(words) and words[at + j] == w for j, w in enumerate(own)) / len(own)
+                if phrase:
+                    base.append((at, label))
+                if share >= LEAST:
+                    found[label] = max(found.get(label, 0.0), share)
         return sorted(base), found
 
 
