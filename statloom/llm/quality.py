@@ -102,8 +102,10 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit to about ``train_docs`` labelled rows. A document labelled more than once counts by its largest label; null
-    labels, ids and texts teach nothing; with one class alone the score is constant, with none it is 0.5."""
+    """Fit to about ``train_docs`` labelled rows. A document labelled more than once counts by its largest label, and
+    as often as it stands in ``docs``; null labels, ids and texts teach nothing; with one class alone the score is
+    constant, with none it is 0.5. The driver gets each row's distinct features, at most ``SIZE`` numbers however long
+    its text is. Ids compare as they are; other columns aren't read."""
     marks = labels.select(labels[id_col].alias("k"), labels[label].cast("int").alias("label")).dropna().groupBy("k").agg(F.max("label").alias("label"))
     n = marks.count()
     some = marks.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.lit(min(1.0, train_docs / max(n, 1)) * (1 << 30)))
@@ -123,7 +125,11 @@ def _scored(shared):
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, score, predicted. Null text is empty."""
+    """One row for each row of ``docs``: doc_id, score, predicted (1 if the score is 0.5 or more, ties included).
+
+    Null text is empty; an empty text gets the score of a text without features. Texts may be of any length. Null ids stay
+    null, repeated rows keep their rows and get equal scores, an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(_scored(shared), "doc_id long, score double, predicted int")
 
