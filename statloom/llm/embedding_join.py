@@ -1,11 +1,12 @@
 """Embedding near-dedup by an exact metric range join.
 
-Unit vectors within a cosine of at least ``threshold`` are at most r = sqrt(2 - 2 * threshold) apart. Pivots partition
-them: a vector's home cell is that of its nearest pivot (and its label). A vector within r of one whose home is another
-cell lies within r of the plane between the two pivots, and, by the triangle inequality, within r of the cell's range of
-distances to its own pivot; it is copied to each cell of which both hold. So every vector's home cell holds all its
-partners, and cells join independently, as products of blocks of bounded size. Both tests compare squares and allow for
-their rounding: 2 - 2cos says nothing of pivots a few rounding errors apart, and a root or quotient of it even less.
+Unit vectors within a cosine of at least ``threshold`` are at most r = sqrt(2 - 2 * threshold) apart. Each label has pivots
+of its own, as many as its size asks for, and they partition its vectors: a vector's home cell is that of its nearest
+pivot. A vector within r of one whose home is another cell lies within r of the plane between the two pivots, and, by the
+triangle inequality, within r of the cell's range of distances to its own pivot; it is copied to each cell of which both
+hold. So every vector's home cell holds all its partners, and cells join independently, as products of blocks of bounded
+size. Both tests compare squares and allow for their rounding: 2 - 2cos says nothing of pivots a few rounding errors
+apart, and a root or quotient of it even less.
 
 Equal vectors of a label are one row that counts as many. No pair is emitted: a block returns each vector's number of
 partners and links that connect its groups.
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, table, written
+from .common import scratch, table, written
 from .components import components
 from .trie import Union
 
-THRESHOLD, BLOCK, PER_PIVOT, MOST_PIVOTS = 0.98, 2048, 2048, 1024
+THRESHOLD, BLOCK, PER_PIVOT = 0.98, 2048, 2048
+#: Pivots that are sent to every task, and labels that have any: the largest. Beyond that cells grow, and their blocks' number.
+MOST_PIVOTS = 4096
 #: More than the rounding errors of a few squared distances 2 - 2cos add up to, in up to a thousand dimensions.
 ERROR = 1e-12
 
@@ -43,40 +46,71 @@ def _root(squares: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, squares))
 
 
+def _by_space(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
+    """The spaces (label and length) of a batch's vectors, and their rows."""
+    found = batch.column("space").dictionary_encode()
+    at = found.indices.to_numpy()
+    for k, space in enumerate(found.dictionary.to_pylist()):
+        yield space, np.flatnonzero(at == k)
+
+
 def _homes(pivots):
-    """(home, low, high): the range of a batch's squared distances, for each pivot that may be nearest to a vector."""
+    """(space, home, low, high): the range of a batch's squared distances, for each pivot that may be nearest to a vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = _squares(_unit(batch.column(1).to_pylist()), pivots.value)
-            may = d <= d.min(1)[:, None] + ERROR
-            home = np.flatnonzero(may.any(0))
-            low, high = np.where(may, d, np.inf).min(0), np.where(may, d, -np.inf).max(0)
-            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(low[home]), pa.array(high[home])], ["home", "low", "high"])
+            for space, rows in _by_space(batch):
+                if space in pivots.value:
+                    d = _squares(_unit(batch.column("embedding").take(pa.array(rows)).to_pylist()), pivots.value[space])
+                    may = d <= d.min(1)[:, None] + ERROR
+                    home = np.flatnonzero(may.any(0))
+                    low, high = np.where(may, d, np.inf).min(0), np.where(may, d, -np.inf).max(0)
+                    yield pa.RecordBatch.from_arrays([pa.array([space] * len(home)), pa.array(home, pa.int32()), pa.array(low[home]), pa.array(high[home])], ["space", "home", "low", "high"])
 
     return run
 
 
 def _cells(pivots, ranges, radius: float):
-    """(cid, pivot, home): the cells of each vector."""
+    """(cid, pivot, home): the cells of each vector; those of a space without pivots are in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, (low, high) = pivots.value, ranges.value
-        # differences of the pivots, as 2 - 2cos loses distances below about 1e-8
-        apart = np.array([np.sqrt(((p - q) ** 2).sum(1)) for q in p])
-        low, high = _root(low - ERROR) - radius, _root(high + ERROR) + radius
+        apart: dict[str, np.ndarray] = {}
         for batch in batches:
-            d = _squares(_unit(batch.column(1).to_pylist()), p)
-            home = d.argmin(1)
-            mine = d[np.arange(len(d)), home]
-            near = (d - mine[:, None] <= 2 * radius * apart[home] + ERROR) & (_root(d - ERROR) <= high) & (_root(d + ERROR) >= low)
-            near[np.arange(len(d)), home] = True
-            row, col = np.nonzero(near)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(col, pa.int32()), pa.array(home[row] == col)], ["cid", "pivot", "home"])
+            for space, rows in _by_space(batch):
+                cid = batch.column("cid").take(pa.array(rows))
+                if space not in pivots.value:
+                    yield pa.RecordBatch.from_arrays([cid, pa.array(np.zeros(len(rows)), pa.int32()), pa.array(np.ones(len(rows), bool))], ["cid", "pivot", "home"])
+                    continue
+                p, (low, high) = pivots.value[space], ranges.value[space]
+                if space not in apart:  # differences of the pivots, as 2 - 2cos loses distances below about 1e-8
+                    apart[space] = np.array([np.sqrt(((p - q) ** 2).sum(1)) for q in p])
+                low, high = _root(low - ERROR) - radius, _root(high + ERROR) + radius
+                d = _squares(_unit(batch.column("embedding").take(pa.array(rows)).to_pylist()), p)
+                home = d.argmin(1)
+                mine = d[np.arange(len(d)), home]
+                near = (d - mine[:, None] <= 2 * radius * apart[space][home] + ERROR) & (_root(d - ERROR) <= high) & (_root(d + ERROR) >= low)
+                near[np.arange(len(d)), home] = True
+                row, col = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([cid.take(pa.array(row)), pa.array(col, pa.int32()), pa.array(home[row] == col)], ["cid", "pivot", "home"])
 
     return run
 
 
+def _pivots(classes: DataFrame) -> dict[str, np.ndarray]:
+    """Pivots of the spaces with more than ``PER_PIVOT`` vectors: their vectors with the smallest hashes, about one in so
+    many, fewer where they would be more than ``MOST_PIVOTS`` in all."""
+    large = classes.groupBy("space").count().filter(F.col("count") > PER_PIVOT).orderBy(F.desc("count"), "space").limit(MOST_PIVOTS).collect()
+    if not large:
+        return {}
+    share = min(1 / PER_PIVOT, MOST_PIVOTS / sum(r["count"] for r in large))
+    some = classes.filter((F.pmod(F.xxhash64("embedding"), F.lit(1 << 30)) < F.lit(share * (1 << 30))))
+    some = some.join(F.broadcast(classes.sparkSession.createDataFrame([(r["space"],) for r in large], "space string")), "space", "left_semi")
+    found: dict[str, list] = {}
+    for r in some.select("space", "unit").collect():
+        found.setdefault(r["space"], []).append(r["unit"])
+    return {k: _unit(sorted(v)) for k, v in found.items()}
+
+
 def _block(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = rows[rows["asks"]], rows[~rows["asks"]]
@@ -103,10 +137,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "e
     """One row for each row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors of one label (not null) link when their cosine in double precision is at least ``threshold``. Vectors that
-    are null, zero, or hold a null or non-finite component link with nothing; so do those of another length than others
-    of their label have most often. Repeated rows are vectors of their own and link. Null ids are never smallest. An
-    empty table gives an empty result.
+    are null, zero, or hold a null or non-finite component link with nothing; vectors of different lengths don't link.
+    Repeated rows are vectors of their own and link. Null ids are never smallest. Only the three columns named are read.
+    An empty table gives an empty result.
     """
+    with scratch() as keep:
+        out = written(_near_vectors(vectors, id_col, embedding, label, threshold), "vector-found")
+        keep(out)
+    return out
+
+
+def _near_vectors(vectors: DataFrame, id_col: str, embedding: str, label: str, threshold: float) -> DataFrame:
     spark = vectors.sparkSession
     e = vectors[embedding].cast("array<double>")
     fine = vectors[label].isNotNull() & e.isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
@@ -116,30 +157,23 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", embedding: str = "e
     scaled = F.transform("embedding", lambda v: v / F.array_max(F.transform("embedding", lambda w: F.abs(w))))
     classes = rows.filter("fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), F.concat_ws(":", F.size("embedding"), "label").alias("space"), F.size("embedding").alias("dim"), "label", "embedding", scaled.alias("unit"), "least", "n"), "vector-classes")
-    found = []
-    for dim, n in [(r["dim"], r["count"]) for r in classes.groupBy("dim").count().collect()]:
-        some = classes.filter(F.col("dim") == dim)
-        k = min(MOST_PIVOTS, -(-n // PER_PIVOT))
-        chosen = some.orderBy(F.xxhash64("embedding"), "cid").select("unit").limit(k).collect()
-        pivots = spark.sparkContext.broadcast(_unit([r["unit"] for r in chosen]))
-        homes = some.select("cid", F.col("unit").alias("embedding")).mapInArrow(_homes(pivots), "home int, low double, high double").groupBy("home").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
-        low, high = np.full(k, np.inf), np.full(k, -np.inf)
-        for r in homes:
-            low[r["home"]], high[r["home"]] = r["low"], r["high"]
-        ranges = spark.sparkContext.broadcast((low, high))
-        radius = float(np.sqrt(2.0 - 2.0 * threshold + ERROR))
-        cells = some.select("cid", F.col("unit").alias("embedding")).mapInArrow(_cells(pivots, ranges, radius), "cid long, pivot int, home boolean")
-        cells = written(cells.join(some.select("cid", "space", F.col("unit").alias("embedding"), "n"), "cid"), "vector-cells")
-        size = cells.groupBy("space", "pivot").agg(F.ceil(F.count_if("home") / BLOCK).cast("long").alias("home_blocks"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).filter("home_blocks > 0")
-        cells = cells.join(size, ["space", "pivot"])
-        own = lambda col: F.array(F.pmod(F.xxhash64("cid"), F.col(col)))
-        every = lambda col: F.sequence(F.lit(0).cast("long"), F.col(col) - 1)
-        parts = lambda df, a, b, asks: df.withColumn("a", F.explode(a)).withColumn("b", F.explode(b)).select("space", "pivot", "a", "b", "cid", "embedding", "n", F.lit(asks).alias("asks"))
-        work = parts(cells.filter("home"), own("home_blocks"), every("blocks"), True).unionByName(parts(cells, every("home_blocks"), own("blocks"), False))
-        found.append(written(work.groupBy("space", "pivot", "a", "b").applyInPandas(_block(threshold), "u long, v long, links long"), "vector-links"))
-    links = found[0] if found else spark.createDataFrame([], "u long, v long, links long")
-    for more in found[1:]:
-        links = links.unionByName(more)
+    chosen = _pivots(classes)
+    pivots = spark.sparkContext.broadcast(chosen)
+    vector = F.col("unit").alias("embedding")
+    low, high = {k: np.full(len(p), np.inf) for k, p in chosen.items()}, {k: np.full(len(p), -np.inf) for k, p in chosen.items()}
+    for r in classes.select("space", vector).mapInArrow(_homes(pivots), "space string, home int, low double, high double").groupBy("space", "home").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
+        low[r["space"]][r["home"]], high[r["space"]][r["home"]] = r["low"], r["high"]
+    ranges = spark.sparkContext.broadcast({k: (low[k], high[k]) for k in chosen})
+    radius = float(np.sqrt(2.0 - 2.0 * threshold + ERROR))
+    cells = classes.select("cid", "space", vector).mapInArrow(_cells(pivots, ranges, radius), "cid long, pivot int, home boolean")
+    cells = written(cells.join(classes.select("cid", "space", vector, "n"), "cid"), "vector-cells")
+    size = cells.groupBy("space", "pivot").agg(F.ceil(F.count_if("home") / BLOCK).cast("long").alias("home_blocks"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).filter("home_blocks > 0")
+    cells = cells.join(size, ["space", "pivot"])
+    own = lambda col: F.array(F.pmod(F.xxhash64("cid"), F.col(col)))
+    every = lambda col: F.sequence(F.lit(0).cast("long"), F.col(col) - 1)
+    parts = lambda df, a, b, asks: df.withColumn("a", F.explode(a)).withColumn("b", F.explode(b)).select("space", "pivot", "a", "b", "cid", "embedding", "n", F.lit(asks).alias("asks"))
+    work = parts(cells.filter("home"), own("home_blocks"), every("blocks"), True).unionByName(parts(cells, every("home_blocks"), own("blocks"), False))
+    links = written(work.groupBy("space", "pivot", "a", "b").applyInPandas(_block(threshold), "u long, v long, links long"), "vector-links")
     group = components(links.filter("links = 0").select("u", "v")).withColumnRenamed("node", "cid")
     count = links.filter("links > 0").groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
     known = classes.join(group, "cid", "left").join(count, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
