@@ -222,6 +222,33 @@ def test_licenses(spark):
     assert labels[100] == "mit" and labels[105] == "" and licenses.scan(cases.empty(spark)).count() == 0
 
 
+def brute_labels(text):
+    """Labels by trying every alignment of every template."""
+    w, out = licenses.words_of(text), set()
+    for label, phrase, own, must in licenses.Index({}, 0).templates:
+        for at in range(-len(own), len(w)):
+            at_place = [0 <= at + j < len(w) and w[at + j] == x for j, x in enumerate(own)]
+            if all(all(at_place[j] for j in m) for m in must) and sum(at_place) >= 0.6 * len(own):
+                out.add(label)
+    return ",".join(sorted(out))
+
+
+def test_license_labels_by_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    texts = []
+    for t in [*licenses.TEMPLATES.values()] * 4:
+        w = t.replace("[", "").replace("]", "").split(" ")
+        for _ in range(r.choice([0, 1, 2, 6])):
+            k = r.randrange(len(w))
+            w[k : k + 1] = r.choice([[], ["changed"], [w[k], w[k]]])
+        texts.append(" ".join([*r.choices(w, k=r.randrange(9)), *w, *r.choices(w, k=r.randrange(9))]))
+    texts += [" ".join(texts[k : k + 5]) for k in range(0, 40, 5)]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in found} == {k: brute_labels(t) for k, t in enumerate(texts)}
+
+
 def test_licenses_cut_alike(spark):
     cut = "Redistribution and use in source and binary forms, with or without modification, are permitted"
     rows = [(1, cut), (2, cut), (3, "Redistribution and use in source and binary forms"), (4, "source forms are permitted " * 9), (5, f"as provided: {cut} provided")]
@@ -323,6 +350,69 @@ def test_language_stage_without_languages(spark):
     assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter((r[0], r[1]) for r in cases.rows() if re.search("[a-zé]", r[1] or ""))
 
 
+def test_quality_by_a_plain_model():
+    import random
+
+    import numpy as np
+
+    r = random.Random(6)
+    texts = [" ".join(r.choice(("good fine text here".split(), "bad odd noise there".split())[k % 2]) + r.choice("abc") for _ in range(r.randint(1, 12))) for k in range(60)]
+    y = np.array([1 if k % 2 == 0 else 0 for k in range(60)])
+    rows = [quality.features(t.encode()) for t in texts]
+    model = quality.Model(rows, y)
+    used = sorted({int(f) for x in rows for f in x})
+    x = np.array([[float(f in set(map(int, row))) for f in used] for row in rows])
+    p, q = 1 + x[y == 1].sum(0), 1 + x[y == 0].sum(0)  # smoothed counts; features that never occur count one each
+    rest = quality.SIZE - len(used)
+    ratio = np.log(p / (p.sum() + rest)) - np.log(q / (q.sum() + rest))
+    scaled = x * ratio
+    scaled /= np.sqrt((scaled**2).sum(1) + 1e-12)[:, None]
+    z = np.hstack([scaled, np.ones((60, 1))])  # the bias as a feature
+    sign, alpha, rng = np.where(y == 1, 1.0, -1.0), np.zeros(60), np.random.default_rng(7)
+    for _ in range(quality.EPOCHS):
+        before = alpha.copy()
+        for i in rng.permutation(60):
+            w = (alpha * sign) @ z
+            alpha[i] = np.clip(alpha[i] - (sign[i] * (z[i] @ w) - 1) / 2, 0, quality.COST)
+        if np.abs(alpha - before).max() < 1e-3:
+            break
+    w = (alpha * sign) @ z
+    assert model.weight[used] == pytest.approx(w[:-1] * ratio, abs=2e-3) and model.bias == pytest.approx(w[-1], abs=2e-3)
+    for t, row in zip(texts, z):
+        assert model.score(t.encode()) == pytest.approx(1 / (1 + np.exp(-2 * (row @ w))), abs=2e-3)
+    assert ((z @ w > 0) == (y == 1)).mean() > 0.9
+
+
+LONG = [1024 * 1024 - 1, 1024 * 1024, 1024 * 1024 + 1, 3_000_000]
+
+
+def test_very_long_texts(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(8)
+    many = [f"w{r.randrange(50_000)}" for _ in range(500_000)]
+    texts = [" ".join(many)[:n] for n in LONG] + ["x" * 3_000_000, "a " * 600_000 + "b" * 1_200_000 + " mit license"]
+    rows = [(k, t, f"s{k % 2}") for k, t in enumerate(texts)]
+    df = spark.createDataFrame([(k, t, s, "en") for k, t, s in rows], "doc_id long, text string, source string, lang string")
+    for size in (2048, 32_768):
+        found = exact_dedup.exact_dedup(df, block_bytes=size).collect()
+        same([(x["doc_id"], x["keep_id"], x["text_sha256"]) for x in found], [(k, k, hashlib.sha256(t.encode()).hexdigest()) for k, t, _ in rows])
+    same(jaccard_join.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect(), brute_components(rows))
+    assert jaccard_join.keep_one(df).count() == len({x[2] for x in brute_components(rows)})
+    same(substring_dedup.dedup(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), brute_substrings(rows))
+    assert {x["doc_id"]: x["size"] for x in mixing.mix(df).collect()} == {k: len(t.split()) for k, t in enumerate(texts)}
+    assert all(not x["found"] for x in pii.find(df).collect())
+    same([(x["doc_id"], x["n_words"], x["n_base"], x["first_word"], x["last_word"], x["base_labels"]) for x in licenses.scan(df).collect()], [(k, *brute_phrases(t)) for k, t in enumerate(texts)])
+    model = language_id.train(df)
+    assert {x["lang_pred"] for x in language_id.predict(df, model).collect()} == {"en"}
+    fitted = quality.Model([quality.features(t.encode()) for t in texts[:2]], np.array([1, 0]))
+    assert quality.score(df, fitted).count() == len(texts)
+    encode = packing.Encoder(packing.tokenizer_path())
+    assert {x["doc_id"]: x["doc_tokens"] for x in packing.pack(df).collect()} == {k: len(encode(t)) // 4 + 1 for k, t in enumerate(texts)}
+
+
 def test_quality(spark):
     docs, labels = table(spark, cases.SF, "documents"), table(spark, cases.SF, "labels")
     model = quality.train(docs, labels.filter(~language_id.held_out(labels["doc_id"], 3, 1)))
