@@ -112,3 +112,18 @@ def test_stages(spark, real):
 def test_run_and_empty_tables(spark, tmp_path):
     cases.empty(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_names(spark):
+    names = "_k _h _row _salt _first row hash s k h again row_number level name one uid pos digest th class_id component copies threshold best doc id t".split()
+    rows = [(k, t, "en", f"s{k % 2}", len(t), *range(len(names))) for k, t in enumerate([cases.prose(60, 1), cases.prose(60, 1) + " more", cases.prose(30, 2), cases.prose(30, 2), cases.prose(30, 3)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{n}` int" for n in names))
+    columns, found = docs.columns, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == columns
+        kept = out.collect()
+        found.append(sorted(r["doc_id"] for r in kept))
+        docs = spark.createDataFrame(kept, docs.schema)
+    assert found[:3] == [[0, 1, 2, 3, 4], [0, 1, 2, 4], [0, 2, 4]]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(found[-1])
