@@ -28,8 +28,8 @@ TRAIN_DOCS = 4000
 #: Languages learned at most, the most frequent ones; the first by code point of equally frequent ones.
 MOST_LANGS = 256
 #: A text is in none of the languages if its best code takes more than so many bits a byte, and so many besides. Texts in
-#: a learned language take 2 to 3; bytes that never followed one another take 8 and more.
-MOST_BITS, SLACK_BITS = 6.0, 64.0
+#: a learned language take 2 to 3, odd words and keys in them up to 7; in a script that no language has, bytes take over 8.
+MOST_BITS, SLACK_BITS = 7.5, 64.0
 PAD = b"\n" * ORDER
 
 

@@ -23,7 +23,7 @@ def brute_language(rows):
     for r in rows:
         if re.search(r"[^\W\d_]", r["text"] or ""):
             costs = [bits(x, r["text"]) for x in langs]
-            if min(costs) <= 6 * len(r["text"].lower().encode()) + 64:
+            if min(costs) <= 7.5 * len(r["text"].lower().encode()) + 64:
                 out.append({**r, "lang": r["lang"] if r["lang"] is not None else langs[costs.index(min(costs))]})
     return out
 
