@@ -23,6 +23,8 @@ KINDS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, r"phone|tel|call|mobile|fax"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9]))", "", 0.8, r"iban|account|bank|konto"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, r"\bssn\b|social|security"),
+    "key": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])", "A", 0.8, r"key|access|secret"),
+    "token": (r"(?<![A-Za-z0-9])[0-9a-f]{32,64}+(?![A-Za-z0-9])", "", 0.3, r"token|secret|passw|key"),
 }
 BASE = ("email", "ip", "card", "phone")
 #: The countries' lengths of account numbers.
@@ -128,8 +130,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """One row for each row of ``docs``: doc_id and ``found``, an array of spans ordered by start, then kind.
 
     A span has start, kind_no, end (code points, end exclusive), kind and score. Spans of the four base kinds are all
-    that pass their check; account numbers (mod 97) and social security numbers are added where their score, raised by
-    context words in the 40 characters before them, reaches 0.5. Null text is empty; null ids and repeated rows keep
+    that pass their check; account numbers (mod 97), social security numbers, access keys and hexadecimal tokens are added
+    where their score, raised by context words in the 40 characters before them, reaches 0.5. Null text is empty; null ids and repeated rows keep
     their rows; an empty table gives an empty result.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text).alias("t"))
