@@ -45,6 +45,7 @@ def scan(
     compress=None,
     reader: StatReader | None = None,
     schema_overrides: dict | None = None,
+    strict_schema: bool = True,
     batch_size: int | None = None,
     informative_nulls=None,
     catalog=None,
@@ -117,7 +118,7 @@ def scan(
     if squeeze:
         df = tr.compressed(df, squeeze)
     if overrides:
-        df = tr.overridden(df, overrides)
+        df = tr.overridden(df, overrides, strict_schema)
     if order and order.mode == "sort":
         df = df.orderBy(index).drop(index)
     if columns is not None:

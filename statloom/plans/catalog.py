@@ -145,8 +145,8 @@ def sav_roundtrip_events(spark, sf):
 
 
 def zsav_roundtrip_part(spark, sf):
-    out = scan(spark, _stored(spark, _table(spark, sf, "part"), "part.zsav"), columns=["p_name", "p_size", "p_retailprice"])
-    return out.select("p_name", F.col("p_size").cast("int"), "p_retailprice")
+    out = scan(spark, _stored(spark, _table(spark, sf, "part"), "part.zsav"))
+    return out.select(F.col("p_partkey").cast("bigint"), "p_name", "p_brand", "p_type", F.col("p_size").cast("int"), "p_retailprice")
 
 
 def sav_value_labels(spark, sf):
@@ -327,7 +327,7 @@ ORACLE = {
     "xpt8_long_names": "SELECT * FROM customer",
     "xpt_projection_nonprefix": "SELECT c_mktsegment, c_nationkey FROM customer",
     "sav_roundtrip_events": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id, event_type, value, props FROM events",
-    "zsav_roundtrip_part": "SELECT p_name, p_size, p_retailprice FROM part",
+    "zsav_roundtrip_part": "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part",
     "sav_value_labels": "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'zero' WHEN 2 THEN 'two' ELSE CAST(n_regionkey AS VARCHAR) END AS n_regionkey FROM nation",
     "sav_long_strings": "SELECT conv_id, turn, sha256(rtrim(text, ' ')) AS digest FROM conversations",
     "por_roundtrip_nation": "SELECT n_nationkey AS NATKEY, n_name AS NAME, n_regionkey AS REGION FROM nation",

@@ -1,10 +1,12 @@
-"""Writing SPSS system files: fixed 8-byte cells, UTF-8."""
+"""Writing SPSS system files in UTF-8: .sav with fixed 8-byte cells, .zsav with byte codes in zlib blocks."""
 
 from __future__ import annotations
 
+import io
 import re
 import struct
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ from .encode import fitted, numbers, padded, plain, stats
 from .parts import Parts
 
 MOST_BYTES = 32_767
+#: Fixed value: bytes of a zlib block before it is deflated, at most. Bias: what byte codes for whole numbers are raised by.
+BLOCK, BIAS = 0x3FF000, 100
 TYPES = {v: k for k, v in FORMAT_NAMES.items()}
 
 
@@ -89,12 +93,43 @@ def _choice(names: dict[int, str], value, what: str) -> int:
     raise ValueError(f"unknown {what} {value!r}")
 
 
+def byte_coded(room: np.ndarray, text: np.ndarray) -> bytes:
+    """Rows of cells as byte codes: clusters of eight codes, each with the cells after it that no code stands for. ``text``
+    says which cells of a row are of texts. The last cluster is filled up by codes that mean nothing."""
+    cells = np.ascontiguousarray(room).view("<u8").ravel()
+    of_text = np.tile(text, len(room))
+    v = cells.view("<f8")
+    with np.errstate(invalid="ignore"):
+        whole = ~of_text & (v >= 1 - BIAS) & (v <= 251 - BIAS)
+    whole[whole] = (v[whole] == np.floor(v[whole])) & ((v[whole] != 0) | (cells[whole] == 0))
+    codes = np.full(-(-len(cells) // 8) * 8, 253, np.uint8)
+    codes[len(cells) :] = 0
+    codes[: len(cells)][whole] = (v[whole] + BIAS).astype(np.uint8)
+    codes[: len(cells)][~of_text & (cells == SYSMIS)] = 255
+    codes[: len(cells)][of_text & (cells == int.from_bytes(b" " * 8, "little"))] = 254
+    raw = codes == 253
+    count = raw.reshape(-1, 8).sum(1)
+    out = np.empty(len(count) + int(count.sum()), "<u8")
+    is_code = np.zeros(len(out), bool)
+    is_code[np.arange(len(count)) + np.cumsum(count) - count] = True
+    out[is_code] = codes.view("<u8")
+    out[~is_code] = cells[raw[: len(cells)]]
+    return out.tobytes()
+
+
+def _blocks(coded: bytes) -> tuple[bytes, bytes]:
+    """Deflated blocks, and their sizes before and after."""
+    cut = [coded[k : k + BLOCK] for k in range(0, len(coded), BLOCK)]
+    small = [zlib.compress(b) for b in cut]
+    return b"".join(small), b"".join(struct.pack("<ii", len(b), len(z)) for b, z in zip(cut, small, strict=True))
+
+
 def _extension(sub: int, size: int, body: bytes) -> bytes:
     return struct.pack("<iiii", 7, sub, size, len(body) // size) + body
 
 
 def write_sav(df: DataFrame, path: str, value_labels: dict | None = None, variable_labels: dict | None = None, variable_measure: dict | None = None, variable_display_width: dict | None = None, variable_alignment: dict | None = None, variable_format: dict | None = None, file_label: str = "", threads=None) -> None:
-    """Write ``df``, in its order, as a .sav or .zsav file (both with plain cells). Nulls are system-missing or spaces;
+    """Write ``df``, in its order, as a .sav file with plain cells or a .zsav file with zlib blocks. Nulls are system-missing or spaces;
     times have whole seconds; texts take the width of their widest value."""
     df = plain(df)
     for n in df.columns:
@@ -116,8 +151,12 @@ def write_sav(df: DataFrame, path: str, value_labels: dict | None = None, variab
         if n in by and by[n].text:
             raise ValueError(f"value labels of the text column {n!r} can't be written")
 
+    squeezed = path.lower().endswith(".zsav")
+    of_text = np.array([p.text for p in plans for w in p.segments() for _ in range(-(-w // 8) if p.text else 1)], bool)
+
     def encode(batch, state):
-        return np.concatenate([p.bytes(batch.column(k)) for k, p in enumerate(plans)], axis=1).tobytes(), b""
+        room = np.concatenate([p.bytes(batch.column(k)) for k, p in enumerate(plans)], axis=1)
+        return _blocks(byte_coded(room, of_text)) if squeezed else (room.tobytes(), b"")
 
     with Parts(df, path, encode) as parts, open(parts.path, "wb") as out:
         places, heads, at = {}, [], 1
@@ -158,7 +197,20 @@ def write_sav(df: DataFrame, path: str, value_labels: dict | None = None, variab
         body += _extension(20, 1, b"UTF-8")
         now = time.gmtime()
         rows = parts.rows if parts.rows < 2**31 else -1
-        out.write(b"$FL2" + b"@(#) SPSS DATA FILE statloom".ljust(60) + struct.pack("<iiiii", 2, at - 1, 0, 0, rows) + struct.pack("<d", 100.0))
+        out.write((b"$FL3" if squeezed else b"$FL2") + b"@(#) SPSS DATA FILE statloom".ljust(60) + struct.pack("<iiiii", 2, at - 1, 2 if squeezed else 0, 0, rows) + struct.pack("<d", float(BIAS)))
         out.write(time.strftime("%d %b %y%H:%M:%S", now).encode() + fitted(file_label, 64, "the file label").ljust(64) + bytes(3))
         out.write(body + struct.pack("<ii", 999, 0))
+        if not squeezed:
+            parts.into(out)
+            return
+        sizes = io.BytesIO()
+        parts.into(sizes, more=True)
+        sizes, start = list(struct.iter_unpack("<ii", sizes.getvalue())), out.tell()
+        trailer = start + 24 + sum(z for _, z in sizes)
+        out.write(struct.pack("<qqq", start, trailer, 24 + 24 * len(sizes)))
         parts.into(out)
+        out.write(struct.pack("<qqii", -BIAS, 0, BLOCK, len(sizes)))
+        full, small = start, start + 24
+        for b, z in sizes:
+            out.write(struct.pack("<qqii", full, small, b, z))
+            full, small = full + b, small + z

@@ -61,6 +61,10 @@ class Source:
     def resume_at(self, row: int):
         return None
 
+    def divisible(self) -> bool:
+        """Whether rows in the middle are found without decoding those before them."""
+        return True
+
     def splits(self, n: int, start: int = 0, count: int | None = None) -> list[tuple[int, int]]:
         """About ``n`` consecutive (start, count) ranges of rows."""
         stop = self.rows if count is None else min(self.rows, start + count)

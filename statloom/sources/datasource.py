@@ -110,7 +110,8 @@ class Reader(DataSourceReader):
 
     def partitions(self):
         if self.o.files:
-            sizes = [(f, max(1, -(-file_size(f) // SPLIT_BYTES))) for f in self.o.files]
+            # a file whose rows can only be found by decoding what is before them is one task's
+            sizes = [(f, max(1, -(-file_size(f) // SPLIT_BYTES)) if self.source.divisible() else 1) for f in self.o.files]
             return [Rows(0, 0, f, share=(k, n)) for f, n in sizes for k in range(n)]
         n = self.o.partitions or max(8, -(-self.source.bytes_of_rows() // SPLIT_BYTES))
         found = self.source.splits(n, self.o.offset, self.o.rows)

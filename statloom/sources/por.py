@@ -172,6 +172,9 @@ class Por(Source):
     def splits(self, n, start=0, count=None):
         return super().splits(1, start, count)
 
+    def divisible(self):
+        return False
+
     def batches(self, start, count, names, tagged, empty_null, step):
         s = self._open()
         s.at = self.data_at

@@ -190,13 +190,17 @@ class Sav(Source):
 
     def splits(self, n, start=0, count=None):
         """Byte codes have no row boundaries that can be found without reading them. One quick pass notes where clusters
-        of codes start, and splits begin there; files with zlib blocks are one split."""
-        if self.compression == 1 and n > 1:
+        of codes start, and splits begin there; of zlib blocks a split inflates those from its start on."""
+        if self.compression and n > 1:
             self.marks = list(self._marked(n))
-        return super().splits(n if self.compression < 2 else 1, start, count)
+        return super().splits(n, start, count)
+
+    def divisible(self):
+        return self.compression == 0
 
     def _marked(self, n: int) -> Iterator[tuple[int, int]]:
-        """(cells before, place in the file) of the starts of clusters, about four for each of ``n`` splits."""
+        """(cells before, place) of the starts of clusters, about four for each of ``n`` splits. A place is one in the file,
+        or, with zlib blocks, where it would be if the blocks stood in the file inflated."""
         step = max(1, self.rows * self.record // 8 // (4 * n))
         seen, due = 0, 0
         for cells, at in self._cells(places=True):
@@ -215,18 +219,25 @@ class Sav(Source):
         return {k: v for k, v in self.__dict__.items() if k != "marks"}
 
     def _stream(self, window: int = WINDOW) -> Iterator[bytes]:
+        start = self.resume[1] if self.resume else self.data_at
         with open_binary(self.path) as f:
-            f.seek(self.resume[1] if self.resume else self.data_at)
             if self.compression != 2:
+                f.seek(start)
                 while b := f.read(window):
                     yield b
                 return
+            f.seek(self.data_at)
             _, trailer, _ = struct.unpack(self.end + "qqq", f.read(24))
             f.seek(trailer)
             _, _, _, n = struct.unpack(self.end + "qqii", f.read(24))
-            for _, at, _, size in [struct.unpack(self.end + "qqii", f.read(24)) for _ in range(n)]:
-                f.seek(at)
-                yield zlib.decompress(f.read(size))
+            place = self.data_at
+            for _, at, full, size in [struct.unpack(self.end + "qqii", f.read(24)) for _ in range(n)]:
+                if place + full > start:
+                    f.seek(at)
+                    block = zlib.decompress(f.read(size))
+                    for k in range(max(0, start - place), len(block), window):
+                        yield block[k : k + window]
+                place += full
 
     def _cells(self, places: bool = False) -> Iterator:
         """Decoded 8-byte cells, some at a time; or, with ``places``, how many there are and where their codes start. The

@@ -247,12 +247,13 @@ def test_sav(spark, tmp_path, compression, unknown):
     assert rows(statloom.scan(spark, str(path), offset=290, n_rows=5, columns=["Q2"])) == [(r[1],) for r in got[290:295]]
 
 
-def test_sav_splits_by_marks(tmp_path, monkeypatch):
+@pytest.mark.parametrize("compression", [1, 2])
+def test_sav_splits_by_marks(tmp_path, monkeypatch, compression):
     from statloom.sources import sav
 
     monkeypatch.setattr(sav, "WINDOW", 64 * 64)
     path = tmp_path / "x.sav"
-    build.sav(path, VARIABLES, spss_rows(), 1)
+    build.sav(path, VARIABLES, spss_rows(), compression)
     whole = [b for _, block in sav.Sav(str(path)).records(0, 300, 1000) for b in block.tolist()]
     for n in (2, 5, 50):
         s = sav.Sav(str(path))

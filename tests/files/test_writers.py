@@ -134,6 +134,7 @@ def test_compress(spark, tmp_path):
     assert statloom.scan(spark, odd, compress={"enabled": False}).dtypes == [("n", "string")]
     with pytest.raises(Exception, match="CAST_OVERFLOW|overflow"):
         statloom.scan(spark, path, schema_overrides={"over": "int"}).collect()
+    assert rows(statloom.scan(spark, path, schema_overrides={"over": "int"}, strict_schema=False, columns=["over"])) == [(None,), (0,), (1,)]
     assert statloom.scan(spark, path, schema_overrides={"i": "int", "nope": "int"}).dtypes[0] == ("i", "int")
     stata = str(tmp_path / "b.dta")
     statloom.write(spark.createDataFrame([(-2147483647.0, -2147483648.0), (2147483620.0, 2147483647.0)], "inside double, outside double"), stata, compress=True)
@@ -175,3 +176,36 @@ def test_stream_reads_files_of_older_times(spark, tmp_path):
             reader = FolderReader(_Options("dta", {"path": str(tmp_path)}), spark.createDataFrame([], "n int").schema)
             first = reader.latestOffset()
     assert [os.path.basename(p.path) for p in reader.partitions(first, reader.latestOffset())] == ["a.dta"]
+
+
+def test_zsav_blocks(spark, tmp_path, monkeypatch):
+    """Byte codes in zlib blocks: every kind of cell, several blocks, and splits that begin within one."""
+    from statloom.sinks import sav as sink
+    from statloom.sources import sav
+
+    path = str(tmp_path / "x.zsav")
+    numbers = [float(k) for k in range(-102, 155)] + [0.0, -0.0, 0.5, 1e300, -1e300, 2.0**53, None]
+    data = [(x, None if k % 3 == 0 else "ab " * (k % 9), "x" * (k % 300), k if k % 5 else None) for k, x in enumerate(numbers * 40)]
+    df = spark.createDataFrame(data, "d double, s string, long string, k int").coalesce(3)
+    statloom.write(df, path)
+    raw = open(path, "rb").read()
+    assert raw[:4] == b"$FL3" and statloom.StatReader(spark, path).metadata["compression"] == "zlib" and len(raw) < len(data) * 43 * 8 / 10
+    want = [(x, (s or "").rstrip(), t, k) for x, s, t, k in data]
+    got = rows(statloom.scan(spark, path, num_partitions=7))
+    assert got == want and [str(r[0]) for r in got] == [str(r[0]) for r in want]
+    assert rows(statloom.scan(spark, path, offset=5000, n_rows=7)) == want[5000:5007]
+    monkeypatch.setattr(sav, "WINDOW", 64 * 64)
+    s = sav.Sav(path)
+    found = s.splits(20)
+    assert len({s.resume_at(a) for a, _ in found}) > 10
+    once = [b for _, block in sav.Sav(path).records(0, s.rows, 1000) for b in block.tolist()]
+    parts = []
+    for a, k in found:
+        s.resume = s.resume_at(a)
+        parts += [b for _, block in s.records(a, k, 100) for b in block.tolist()]
+    assert parts == once and len(once) == len(data)
+    assert sink.byte_coded(sink.np.zeros((0, 8), "u1"), sink.np.array([False])) == b""
+    empty = str(tmp_path / "e.zsav")
+    statloom.write(df.limit(0), empty)
+    assert rows(statloom.scan(spark, empty)) == []
+    assert rows(statloom.scan(spark, [path, path], columns=["k"])) == [(r[3],) for r in want * 2]
