@@ -9,13 +9,14 @@ from pyspark.sql import types as T
 from ..functions.text import FRACTIONAL, INTEGRAL, number_text
 from ..options import Compress, InformativeNulls
 
-MAP_LIMIT = 1000
+#: A map is searched from its start for every row.
+MAP_LIMIT = 64
 
 
 def labelled(df: DataFrame, labels: dict[str, dict], host_text: bool = False) -> DataFrame:
     """Columns with labels as text: a code's label, or the code. host_text: codes as Spark casts them, not shortened.
 
-    Up to a thousand labels are a map in the plan; more are a small table that is joined.
+    Up to ``MAP_LIMIT`` labels are a map in the plan; more are a small table that is joined.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     chosen = {}

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import codecs
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .files import open_binary
 
@@ -145,12 +147,27 @@ def temporal(v: np.ndarray, null: np.ndarray, kind: str, epoch_s: int, clip: boo
 def text(block: np.ndarray, offset: int, width: int, encoding: str, empty_null: bool, cut_nul: bool = True) -> pa.Array:
     """A fixed-width text column: cut at NUL, without trailing spaces."""
     raw = np.ascontiguousarray(block[:, offset : offset + width])
-    items = raw.view(f"S{width}").ravel().tolist() if width else [b""] * len(raw)
+    items = raw.view(f"S{width}").ravel() if width else [b""] * len(raw)
     return strings(items, encoding, empty_null, cut_nul)
 
 
-def strings(items: list[bytes], encoding: str, empty_null: bool, cut_nul: bool = True) -> pa.Array:
-    out: list[str | None] = []
+@functools.cache
+def _holds_ascii(encoding: str) -> bool:
+    """Whether the first 128 bytes mean in a character set what they mean in ASCII, whatever stands before them."""
+    every = bytes(range(128))
+    return not codecs.lookup(encoding).name.startswith(("iso2022", "hz", "utf-7")) and every.decode(encoding, "replace") == every.decode("ascii")
+
+
+def strings(items: list[bytes] | np.ndarray, encoding: str, empty_null: bool, cut_nul: bool = True) -> pa.Array:
+    """Texts without trailing spaces and NULs, and, with ``cut_nul``, without what follows a NUL. A column of ASCII
+    characters without NUL is decoded at once."""
+    raw = pa.array(items, pa.binary())
+    _, ends, held = raw.buffers()
+    held = np.frombuffer(held, np.uint8)[: np.frombuffer(ends, np.int32)[len(raw)]] if len(raw) and held.size else np.zeros(0, np.uint8)
+    if not len(held) or (held.max() < 128 and held.min() > 0 and _holds_ascii(encoding)):
+        out = pc.utf8_rtrim(raw.cast(pa.string()), " ")
+        return pc.if_else(pc.equal(out, ""), pa.scalar(None, pa.string()), out) if empty_null else out
+    items, out = raw.to_pylist(), []
     known: dict[bytes, str | None] = {}
     for b in items:
         if b not in known:

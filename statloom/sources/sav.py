@@ -346,7 +346,8 @@ class Sav(Source):
             at += 256 if left > 255 else -(-n // 8) * 8
             left -= n
         raw = np.ascontiguousarray(np.concatenate(parts, axis=1))
-        out = strings([b.replace(b"\0", b"") for b in raw.view(f"S{c.width}").ravel().tolist()], self.encoding, empty_null, cut_nul=False)
+        items = raw.view(f"S{c.width}").ravel()
+        out = strings(items if raw.all() else [b.replace(b"\0", b"") for b in items.tolist()], self.encoding, empty_null, cut_nul=False)
         gone = set(c.missing.get("strings", ()))
         if not gone:
             return out, pa.nulls(len(out), pa.string()) if tags else None

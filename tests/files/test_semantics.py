@@ -99,3 +99,22 @@ def test_options_are_checked():
             make()
     with pytest.raises(TypeError):
         options.compress(3)
+
+
+def test_texts_of_a_column():
+    """Columns of ASCII characters, decoded at once, give what their values give one by one."""
+    import numpy as np
+
+    from statloom.sources.base import strings
+
+    def one(b, encoding, empty_null, cut):
+        t = (b.split(b"\0")[0] if cut else b).rstrip(b" \0").decode(encoding, "replace")
+        return None if empty_null and not t else t
+
+    plain = [b"", b"a", b" a b  ", b"tab\t", b"~", b"   "]
+    for items in ([], [b""], plain, [*plain, b"a\0b", b"\0 "], [*plain, "é".encode(), b"\xff"], [*plain, b"+AGE-", b"\x1b$B0!", b"~{VP~}", b"\x1b$)C\x0e0!\x0f"]):
+        for encoding in ("utf-8", "cp1252", "ascii", "cp932", "cp037", "utf-7", "iso2022_jp", "iso2022_kr", "hz"):
+            for empty_null in (False, True):
+                for cut in (False, True):
+                    assert strings(items, encoding, empty_null, cut).to_pylist() == [one(b, encoding, empty_null, cut) for b in items]
+    assert strings(np.array(plain, "S6"), "utf-8", False).to_pylist() == ["", "a", " a b", "tab\t", "~", ""]
