@@ -17,7 +17,7 @@ from statloom.llm.packing import pack
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without any letter go."""
+    """Documents with a language: those without any letter go, and those that no learned language explains."""
     return keep_identified(docs)
 
 
