@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -179,20 +179,39 @@ def read(spark: SparkSession, path: str, *, columns: list[str] | None = None, **
 
 
 def batches(df: DataFrame, rows: int | None = None) -> Iterator[pa.RecordBatch]:
-    """A DataFrame's rows, in its order, as record batches; the driver holds one partition at a time."""
-    size = ds.batch_rows(len(df.columns), rows)
-    schema, held = df.limit(0).toArrow().schema, []
+    """A DataFrame's rows, in its order, as record batches, which no task or driver turns into rows; the driver holds one
+    partition at a time."""
+    size, held = ds.batch_rows(len(df.columns), rows), []
 
-    def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([r.asDict(recursive=True) for r in held], schema=schema)
+    def packed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, b.schema) as stream:
+                stream.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["batch"])
 
-    for r in df.toLocalIterator():
-        held.append(r)
-        if len(held) == size:
-            yield made()
-            held.clear()
-    if held:
-        yield made()
+    def made(least: int) -> Iterator[pa.RecordBatch]:
+        while (n := sum(t.num_rows for t in held)) >= least and n:
+            whole = pa.concat_tables(held)
+            yield whole.slice(0, size).combine_chunks().to_batches()[0]
+            held[:] = [whole.slice(size)]
+
+    for r in df.mapInArrow(packed, "batch binary").toLocalIterator():
+        held.append(pa.ipc.open_stream(bytes(r["batch"])).read_all())
+        yield from made(size)
+    yield from made(1)
+
+
+def foreach_batch(df: DataFrame, handle: Callable[[pa.RecordBatch], None]) -> int:
+    """Call ``handle`` with each record batch, in the tasks that hold them; the number of rows. A task that is run again
+    calls it again."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            handle(b)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return sum(r["n"] for r in df.mapInArrow(run, "n long").groupBy().sum("n").withColumnRenamed("sum(n)", "n").collect() if r["n"])
 
 
 class StatReader:
@@ -273,6 +292,21 @@ def write(df: DataFrame, path: str, *, format: str | None = None, metadata=None,
     fits = {"dta": ("dta",), "sav": ("sav", "zsav"), "xpt": ("xpt", "xport"), "por": ("por",)}[fmt]
     if suffix not in fits:
         raise ValueError(f"a {fmt} file must end in {' or '.join('.' + s for s in fits)}")
+    _write(df, path, fmt, metadata, kwargs)
+
+
+def write_parts(df: DataFrame, folder: str, format: str, *, metadata=None, **kwargs) -> None:
+    """Write each partition of a DataFrame, in its task, to a file of its own in a new or empty folder, all of one schema;
+    names follow the partitions' order, so that ``scan(spark, folder + "/*.dta")`` reads them back. Partitions without
+    rows get none, but for the first. Options are those of :func:`write`."""
+    suffix = format.lower().lstrip(".")
+    fmt = {"zsav": "sav", "xport": "xpt"}.get(suffix, suffix)
+    if fmt not in _ALLOWED:
+        raise ValueError(f"can't write {format!r} files; formats: dta, sav, zsav, xpt, por")
+    _write(df, folder, fmt, metadata, kwargs, each=suffix)
+
+
+def _write(df: DataFrame, path: str, fmt: str, metadata, kwargs: dict, each: str | None = None) -> None:
     if unknown := set(kwargs) - _ALLOWED[fmt]:
         raise TypeError(f"unknown arguments for {fmt}: {', '.join(sorted(unknown))}")
     if metadata is not None:
@@ -282,7 +316,7 @@ def write(df: DataFrame, path: str, *, format: str | None = None, metadata=None,
     from .sinks.sav import write_sav
     from .sinks.xpt import write_xpt
 
-    {"dta": write_dta, "sav": write_sav, "xpt": write_xpt, "por": write_por}[fmt](df, path, **kwargs)
+    {"dta": write_dta, "sav": write_sav, "xpt": write_xpt, "por": write_por}[fmt](df, path, each=each, **kwargs)
 
 
 def _with_metadata(df: DataFrame, fmt: str, metadata, kwargs: dict) -> dict:

@@ -13,7 +13,7 @@ from .. import options
 from ..functions.text import INTEGRAL
 from ..operators.transforms import STATA_RANGES, compressed
 from .encode import fitted, numbers, padded, plain, stats, unique_names
-from .parts import Parts
+from .parts import save
 
 DAYS, MS = 3_653, 3_653 * 86_400_000
 #: Names that Stata keeps for itself.
@@ -118,7 +118,7 @@ def _labels(name: str, labels: dict[int, str]) -> bytes:
     return b"<lbl>" + struct.pack("<I", len(body)) + _text(name, 129) + bytes(3) + body + b"</lbl>"
 
 
-def write_dta(df: DataFrame, path: str, value_labels: dict | None = None, variable_labels: dict | None = None, variable_format: dict | None = None, compress=None, data_label: str = "", threads=None) -> None:
+def write_dta(df: DataFrame, path: str, value_labels: dict | None = None, variable_labels: dict | None = None, variable_format: dict | None = None, compress=None, data_label: str = "", threads=None, each: str | None = None) -> None:
     """Write ``df``, in its order. Names are made valid for Stata; integers take the narrowest type that their range
     needs, or double; texts over 2,045 bytes, or with NULs or trailing spaces, become long strings; null texts are empty."""
     for f in (variable_format or {}).values():
@@ -153,7 +153,7 @@ def write_dta(df: DataFrame, path: str, value_labels: dict | None = None, variab
         state["bits"] = bits
         return inner(batch, state)
 
-    with Parts(df, path, encode) as parts, open(parts.path, "wb") as out:
+    def finish(parts, out) -> None:
         head = f"<stata_dta><header><release>{release}</release><byteorder>LSF</byteorder><K>".encode() + struct.pack("<I" if release == 119 else "<H", len(plans)) + b"</K><N>" + struct.pack("<Q", parts.rows) + b"</N><label>"
         label = fitted(data_label, 320, "the data label")
         head += struct.pack("<H", len(label)) + label + b"</label><timestamp>\0</timestamp></header>"
@@ -186,3 +186,5 @@ def write_dta(df: DataFrame, path: str, value_labels: dict | None = None, variab
         at.append(out.tell())
         out.seek(at[1] + 5)
         out.write(np.array(at, "<u8").tobytes())
+
+    save(df, path, encode, finish, each)

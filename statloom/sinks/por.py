@@ -1,4 +1,4 @@
-"""Writing SPSS portable files. Lines break after 80 characters wherever a value stands, so one task writes all rows."""
+"""Writing SPSS portable files. Lines break after 80 characters wherever a value stands, so one task writes a file's rows."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..sources.base import SPSS_SECONDS
 from ..sources.por import CHARACTERS, to_base30
 from .encode import fitted, numbers, plain, stats
-from .parts import Parts
+from .parts import save
 
 VANITY = ("ASCII SPSS PORT FILE".ljust(40) * 5)[:200]
 
@@ -35,7 +35,7 @@ def _values(a: pa.Array, kind: T.DataType) -> list[str]:
     return ["*." if n else to_base30(x) for x, n in zip(v.astype(float).tolist(), null.tolist(), strict=True)]
 
 
-def write_por(df: DataFrame, path: str, file_label: str = "", variable_labels: dict | None = None) -> None:
+def write_por(df: DataFrame, path: str, file_label: str = "", variable_labels: dict | None = None, each: str | None = None) -> None:
     """Write ``df``, in its order; names are upper-cased, over 8 characters or equal but for case is an error."""
     df = plain(df)
     for n in df.columns:
@@ -61,7 +61,7 @@ def write_por(df: DataFrame, path: str, file_label: str = "", variable_labels: d
         state["rest"] = text[cut:]
         return "".join(text[a : a + 80] + "\r\n" for a in range(0, cut, 80)).encode("latin-1")
 
-    with Parts(df.coalesce(1), path, _closing(encode)) as parts, open(parts.path, "wb") as out:
+    def finish(parts, out) -> None:
         name = parts.found[0][1] if parts.found else None
         rest = first
         if name and parts.rows:
@@ -72,6 +72,8 @@ def write_por(df: DataFrame, path: str, file_label: str = "", variable_labels: d
         text = rest + "Z" * (80 - len(rest) % 80)
         out.write("".join(text[a : a + 80] + "\r\n" for a in range(0, len(text), 80)).encode("latin-1"))
 
+    save(df if each else df.coalesce(1), path, _closing(encode), finish, each)
+
 
 def _closing(run):
     """What a batch leaves unfinished goes to the side file behind a mark; the last one counts."""

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..sources.base import SPSS_SECONDS
 from ..sources.sav import ALIGNMENTS, FORMAT_NAMES, MEASURES, SYSMIS
 from .encode import fitted, numbers, padded, plain, stats
-from .parts import Parts
+from .parts import save
 
 MOST_BYTES = 32_767
 #: Fixed value: bytes of a zlib block before it is deflated, at most. Bias: what byte codes for whole numbers are raised by.
@@ -128,7 +128,7 @@ def _extension(sub: int, size: int, body: bytes) -> bytes:
     return struct.pack("<iiii", 7, sub, size, len(body) // size) + body
 
 
-def write_sav(df: DataFrame, path: str, value_labels: dict | None = None, variable_labels: dict | None = None, variable_measure: dict | None = None, variable_display_width: dict | None = None, variable_alignment: dict | None = None, variable_format: dict | None = None, file_label: str = "", threads=None) -> None:
+def write_sav(df: DataFrame, path: str, value_labels: dict | None = None, variable_labels: dict | None = None, variable_measure: dict | None = None, variable_display_width: dict | None = None, variable_alignment: dict | None = None, variable_format: dict | None = None, file_label: str = "", threads=None, each: str | None = None) -> None:
     """Write ``df``, in its order, as a .sav file with plain cells or a .zsav file with zlib blocks. Nulls are system-missing or spaces;
     times have whole seconds; texts take the width of their widest value."""
     df = plain(df)
@@ -151,14 +151,14 @@ def write_sav(df: DataFrame, path: str, value_labels: dict | None = None, variab
         if n in by and by[n].text:
             raise ValueError(f"value labels of the text column {n!r} can't be written")
 
-    squeezed = path.lower().endswith(".zsav")
+    squeezed = f".{each or path}".lower().endswith(".zsav")
     of_text = np.array([p.text for p in plans for w in p.segments() for _ in range(-(-w // 8) if p.text else 1)], bool)
 
     def encode(batch, state):
         room = np.concatenate([p.bytes(batch.column(k)) for k, p in enumerate(plans)], axis=1)
         return _blocks(byte_coded(room, of_text)) if squeezed else (room.tobytes(), b"")
 
-    with Parts(df, path, encode) as parts, open(parts.path, "wb") as out:
+    def finish(parts, out) -> None:
         places, heads, at = {}, [], 1
         body, display = b"", []
         for p in plans:
@@ -214,3 +214,5 @@ def write_sav(df: DataFrame, path: str, value_labels: dict | None = None, variab
         for b, z in sizes:
             out.write(struct.pack("<qqii", full, small, b, z))
             full, small = full + b, small + z
+
+    save(df, path, encode, finish, each)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..sources.xpt import CARD, ieee_to_ibm
 from .encode import fitted, numbers, padded, plain, stats
-from .parts import Parts
+from .parts import save
 
 DAYS = 3_653
 
@@ -40,7 +40,7 @@ def _numbers(a: pa.Array, kind: T.DataType, width: int) -> np.ndarray:
     return ieee_to_ibm(v, null)[:, :width]
 
 
-def write_xpt(df: DataFrame, path: str, version: int = 8, table_name: str | None = None, file_label: str = "", variable_labels: dict | None = None, variable_format: dict | None = None, storage_widths: dict | None = None) -> None:
+def write_xpt(df: DataFrame, path: str, version: int = 8, table_name: str | None = None, file_label: str = "", variable_labels: dict | None = None, variable_format: dict | None = None, storage_widths: dict | None = None, each: str | None = None) -> None:
     """Write ``df``, in its order. Names over 8 (version 5) or 32 characters, or equal but for case, are an error; numbers
     take 3 to 8 bytes, texts the width of their widest value."""
     if version not in (5, 8):
@@ -88,8 +88,10 @@ def write_xpt(df: DataFrame, path: str, version: int = 8, table_name: str | None
     out_head += _fill(body)
     if long:
         out_head += _card(f"HEADER RECORD*******LABELV8 HEADER RECORD!!!!!!!{len(long):<10d}{'':20}  ") + _fill(b"".join(long))
-    out_head += head(obs) if version == 5 else _card(f"HEADER RECORD*******OBSV8   HEADER RECORD!!!!!!!{'':15}{seen['rows']:<15d}  ")
-    with Parts(df, path, encode) as parts, open(parts.path, "wb") as out:
-        out.write(out_head)
+
+    def finish(parts, out) -> None:
+        out.write(out_head + (head(obs) if version == 5 else _card(f"HEADER RECORD*******OBSV8   HEADER RECORD!!!!!!!{'':15}{parts.rows:<15d}  ")))
         n = parts.into(out)
         out.write(b" " * (-n % CARD))
+
+    save(df, path, encode, finish, each)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array as array_of
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ CODES = {251: "byte", 252: "int", 253: "long", 254: "float", 255: "double"}
 LETTERS = {"b": "byte", "i": "int", "l": "long", "f": "float", "d": "double"}
 #: The first missing code of integers from release 113 on, and the largest value before.
 FIRST_MISSING = {"byte": 101, "int": 32741, "long": 2147483621}
+#: Bits of a long string's reference that name the variable.
+REFERENCE_BITS = {117: 32, 118: 16, 119: 24}
 LAST_VALID_OLD = {"byte": 126, "int": 32766, "long": 2147483646}
 
 
@@ -244,26 +247,48 @@ class Dta(Source):
     def _long(self, block, c, empty_null) -> pa.Array:
         big = self.end == ">"
         raw = cells(block, c.offset, 8, self.end + "u8")
-        if self.release == 117:
-            v, o = (raw >> np.uint64(32), raw & np.uint64(0xFFFFFFFF)) if big else (raw & np.uint64(0xFFFFFFFF), raw >> np.uint64(32))
-        else:
-            bits = np.uint64(16 if self.release == 118 else 24)
-            v, o = (raw >> (np.uint64(64) - bits), raw & ((np.uint64(1) << (np.uint64(64) - bits)) - np.uint64(1))) if big else (raw & ((np.uint64(1) << bits) - np.uint64(1)), raw >> bits)
-        table = self._long_strings()
-        return strings([table.get(k, b"") for k in zip(v.tolist(), o.tolist(), strict=True)], self.encoding, empty_null)
-
-    def _long_strings(self) -> dict:
-        """(v, o) to text; read once in each task that needs it."""
+        # writers of big-endian files differ in how wide the variable's number is at release 119
+        keys = [self._reference(raw, bits, big) for bits in ((24, 16) if big and self.release == 119 else (REFERENCE_BITS[self.release],))]
+        known, at, size = self._long_strings()
+        found = [np.searchsorted(known, k) for k in keys]
+        hits = [(f < len(known)) & (known[np.minimum(f, len(known) - 1)] == k) if len(known) else np.zeros(len(k), bool) for f, k in zip(found, keys, strict=True)]
+        best = int(np.argmax([h.sum() for h in hits]))
+        which, hit = np.where(hits[best], found[best], 0), hits[best]
+        texts: dict[int, bytes] = {}
+        with open_binary(self.path) as f:
+            for k in sorted(set(which[hit].tolist()), key=at.__getitem__):
+                f.seek(int(at[k]))
+                texts[k] = f.read(int(size[k])).rstrip(b"\0")
+        return strings([texts[k] if h else b"" for k, h in zip(which.tolist(), hit.tolist(), strict=True)], self.encoding, empty_null)
+
+    def _reference(self, raw: np.ndarray, bits: int, big: bool) -> np.ndarray:
+        """Cells of long strings as keys: the variable's number in the low bits that a release has for it, then the row's."""
+        if not big:
+            return raw.astype("u8")
+        low = np.uint64(64 - bits)
+        v, o = raw.astype("u8") >> low, raw.astype("u8") & ((np.uint64(1) << low) - np.uint64(1))
+        return v | o << np.uint64(REFERENCE_BITS[self.release])
+
+    def _long_strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the file's long strings, sorted, with places and sizes of their texts; headers are walked once in each
+        task that needs them. Texts, which may be most of the file, are read for a batch at a time. Binary ones count as
+        empty."""
         if not hasattr(self, "_gso"):
-            self._gso = {}
+            key, at, size = array_of("Q"), array_of("Q"), array_of("I")
+            bits = REFERENCE_BITS[self.release]
             with open_binary(self.path) as f:
                 r = _Reader(f, self.strls_at, self.end, self.encoding)
                 r.tag("strls")
                 while r.take(3) == b"GSO":
                     v, o = r.num("I"), r.num("I" if self.release == 117 else "Q")
-                    kind, size = r.num("B"), r.num("I")
-                    body = r.take(size)
-                    self._gso[v, o] = body.rstrip(b"\0") if kind == 0x82 else b""
+                    kind, n = r.num("B"), r.num("I")
+                    key.append((v | o << bits) & 0xFFFFFFFFFFFFFFFF)
+                    at.append(f.tell())
+                    size.append(n if kind == 0x82 else 0)
+                    f.seek(n, 1)
+            key = np.frombuffer(key, "u8")
+            order = np.argsort(key, kind="stable")
+            self._gso = key[order], np.frombuffer(at, "u8")[order], np.frombuffer(size, "u4")[order]
         return self._gso
 
     def __getstate__(self):

@@ -209,3 +209,34 @@ def test_zsav_blocks(spark, tmp_path, monkeypatch):
     statloom.write(df.limit(0), empty)
     assert rows(statloom.scan(spark, empty)) == []
     assert rows(statloom.scan(spark, [path, path], columns=["k"])) == [(r[3],) for r in want * 2]
+
+
+@pytest.mark.parametrize("fmt", ["dta", "sav", "zsav", "xpt", "por"])
+def test_a_file_for_each_partition(spark, tmp_path, fmt):
+    folder = str(tmp_path / fmt)
+    df = spark.range(0, 1000, 1, 4).select(F.col("id").cast("double").alias("id"), F.concat(F.lit("t"), F.col("id") % 13).alias("s")).filter("id < 250 or id >= 500")
+    statloom.write_parts(df, folder, fmt, variable_labels={"id": "number"})
+    suffix = fmt.replace("zsav", "sav") if fmt != "zsav" else "zsav"
+    assert sorted(p.name for p in (tmp_path / fmt).iterdir()) == [f"part-{k:06d}.{suffix}" for k in (0, 2, 3)] and [p.name for p in tmp_path.iterdir()] == [fmt]
+    back = statloom.scan(spark, f"{folder}/*.{suffix}")
+    assert sorted(rows(back)) == sorted(rows(df)) and statloom.scan(spark, f"{folder}/part-000002.{suffix}").count() == 250
+    with pytest.raises(FileExistsError):
+        statloom.write_parts(df, folder, fmt)
+
+
+def test_parts_of_an_empty_frame(spark, tmp_path):
+    df = spark.range(0, 10, 1, 3).select("id", F.lit("x").alias("s")).filter("id < 0")
+    statloom.write_parts(df, str(tmp_path / "none"), "dta")
+    assert statloom.scan(spark, str(tmp_path / "none" / "*.dta")).count() == 0
+    with pytest.raises(ValueError, match="formats: dta"):
+        statloom.write_parts(df, str(tmp_path / "other"), "csv")
+
+
+def test_long_strings_of_several_parts(spark, tmp_path):
+    df = spark.range(0, 300, 1, 3).select("id", F.repeat(F.concat(F.lit("é"), "id"), F.when(F.col("id") % 3 == 0, 1000).otherwise(0)).alias("a"), F.concat(F.lit("b "), F.repeat(F.lit("x"), 2100), "id").alias("b"))
+    path = str(tmp_path / "x.dta")
+    statloom.write(df, path)
+    statloom.write_parts(df, str(tmp_path / "parts"), "dta")
+    want = sorted(rows(df))
+    assert sorted(rows(statloom.scan(spark, path, batch_size=7))) == want == sorted(rows(statloom.scan(spark, str(tmp_path / "parts" / "*.dta"))))
+    assert pd.read_stata(path)["b"].tolist() == [r[2] for r in want]
