@@ -121,8 +121,11 @@ class Reader(DataSourceReader):
         source, start, count = self.source, partition.start, partition.count
         if partition.share:
             source, (k, n) = self.o.source(partition.path), partition.share
-            a, b = source.rows * k // n, source.rows * (k + 1) // n
-            start, count = a, b - a
+            if source.divisible():
+                a, b = source.rows * k // n, source.rows * (k + 1) // n
+                start, count = a, b - a
+            else:
+                (start, count), = source.splits(1) or [(0, 0)]
             _same(self.source, source, self.names)
         source.resume = partition.resume
         yield from decode(source, self.o, self.fields, self.names, start, count)

@@ -8,10 +8,12 @@ import numpy as np
 import pyarrow as pa
 
 from .base import SPSS_SECONDS, Column, Source, array, temporal
-from .files import SpssError, open_binary
+from .files import SpssError, file_size, open_binary
 from .sav import FORMAT_NAMES, KINDS
 
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRST"
+#: More rows than any file has.
+ALL_ROWS = 1 << 62
 #: The portable character set from place 64 on.
 CHARACTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz .<(+|&[]!$*);^-/|,%_>?`:#@'=\""
 
@@ -133,8 +135,19 @@ class Por(Source):
                     s.string()
             else:
                 raise SpssError(f"unknown tag {tag!r} in {path}")
-        self.data_at, self.record = s.at, 1
-        self.rows = sum(len(c) for c in self._rows(s)) // max(1, len(self.columns))
+        self.data_at, self.record, self._counted = s.at, 1, None
+
+    @property
+    def rows(self) -> int:
+        """The header doesn't say: the whole file is read for this, when it is asked for."""
+        if self._counted is None:
+            s = self._open()
+            s.at = self.data_at
+            self._counted = sum(len(c) for c in self._rows(s)) // max(1, len(self.columns))
+        return self._counted
+
+    def bytes_of_rows(self):
+        return file_size(self.path)
 
     def _open(self) -> _Stream:
         with open_binary(self.path) as f:
@@ -170,7 +183,7 @@ class Por(Source):
         yield out
 
     def splits(self, n, start=0, count=None):
-        return super().splits(1, start, count)
+        return [(start, ALL_ROWS - start if count is None else count)]
 
     def divisible(self):
         return False
@@ -186,6 +199,8 @@ class Por(Source):
             if a < b:
                 yield at + a, {c.name: self._column(flat[k::width][a:b], c, c.name in tagged, empty_null) for k, c in wanted}
             at += n
+            if at >= start + count:
+                return
 
     def _column(self, values: list, c: Column, tags: bool, empty_null: bool):
         if c.storage == "string":
