@@ -184,6 +184,20 @@ PII_TEXTS = [
 ]
 
 
+def test_pii_query(spark, tmp_path):
+    texts = [*PII_TEXTS, "", None, 'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" and x@y.zz']
+    spark.createDataFrame([(k, t, "a") for k, t in enumerate(texts)], "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in pii.op6_pii(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        base, r = brute_pii(t or ""), got[k]
+        every = [x for x in r["spans"].split(",") if x]
+        assert r["n_spans"] == len(every) and r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] == len(base)
+        named = ",".join(x for x in every if x.split(":")[0] in pii.BASE)
+        assert r["base_sha256"] == hashlib.sha256(named.encode()).hexdigest()
+    assert got[len(texts) - 1]["spans"].split(",")[0].startswith("token:9:") and got[len(texts) - 1]["n_spans"] == 2
+
+
 def test_pii(spark):
     rows = [(k, t) for k, t in enumerate(PII_TEXTS)] + [(None, "x@y.zz"), (None, "x@y.zz")]
     for df, rows in [(spark.createDataFrame(rows, "doc_id long, text string"), rows), (table(spark, cases.SF, "documents"), [r[:2] for r in documents(spark)])]:
