@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import metadata as meta
-from ..api import scan, write, write_sas_bundle
+from ..api import scan, write, write_parts, write_sas_bundle
 from . import samples
 
 _FOLDER: list[str] = []
@@ -44,6 +44,18 @@ def dta_roundtrip_orders(spark, sf):
     return df.select(F.col("o_orderkey").cast("bigint"), F.col("o_custkey").cast("bigint"), "o_orderstatus", "o_totalprice", _day("o_orderdate").alias("o_orderdate"), "o_orderpriority")
 
 
+def dta_parts_orders(spark, sf):
+    folder = _file("orders-parts")
+    write_parts(_table(spark, sf, "orders").repartition(8, "o_orderkey"), folder, "dta", variable_labels={"o_orderkey": "order"})
+    return scan(spark, f"{folder}/*.dta").select(F.col("o_orderkey").cast("bigint"), "o_totalprice", _day("o_orderdate").alias("o_orderdate"), "o_orderpriority")
+
+
+def dta_parts_long_strings(spark, sf):
+    folder = _file("documents-parts")
+    write_parts(_table(spark, sf, "documents").select("doc_id", "text").repartition(4, "doc_id"), folder, "dta")
+    return scan(spark, f"{folder}/*.dta").select(F.col("doc_id").cast("bigint"), F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"))
+
+
 def dta_projection_limit_agg(spark, sf):
     path = _stored(spark, _table(spark, sf, "orders"), "orders.dta")
     df = scan(spark, path, columns=["o_orderpriority", "o_totalprice"])
@@ -304,7 +316,7 @@ QUERIES = {
         dta_roundtrip_orders, dta_projection_limit_agg, dta_pushed_filter, dta_rows_and_offset, dta_value_labels, dta_informative_separate, dta_informative_struct, dta_informative_merged, dta_compress,
         dta_row_index_sort, dta_sorted_top, dta_long_strings, xpt5_roundtrip_customer, xpt8_long_names, xpt_projection_nonprefix, sav_roundtrip_events, zsav_roundtrip_part, sav_value_labels, sav_long_strings,
         por_roundtrip_nation, por_roundtrip_orders, sas_csv_bundle_lineitem, metadata_merge, catalog_labels, schema_override_cast, time_of_day, join_over_scans, semi_anti_over_scans, window_over_scan,
-        setops_over_scans, rollup_over_scan, topk_over_scan, sas7bdat_plain, sas7bdat_rle, sas7bdat_rdc, sas7bcat_labels, sav_bytecode, zsav_zlib, sav_user_missing,
+        setops_over_scans, rollup_over_scan, topk_over_scan, dta_parts_orders, dta_parts_long_strings, sas7bdat_plain, sas7bdat_rle, sas7bdat_rdc, sas7bcat_labels, sav_bytecode, zsav_zlib, sav_user_missing,
     )
 }
 
@@ -312,6 +324,8 @@ _CODED = "CASE CAST(round(l_discount * 100) AS INT) WHEN 1 THEN NULL WHEN 2 THEN
 _CODE = "CASE CAST(round(l_discount * 100) AS INT) WHEN 1 THEN '.a' WHEN 2 THEN '.b' END"
 ORACLE = {
     "dta_roundtrip_orders": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders",
+    "dta_parts_orders": "SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders",
+    "dta_parts_long_strings": "SELECT doc_id, CAST(length(text) AS INT) AS chars, sha256(text) AS digest FROM documents",
     "dta_projection_limit_agg": "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
     "dta_pushed_filter": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000",
     "dta_rows_and_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 250 OFFSET 100",
