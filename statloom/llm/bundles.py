@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 BUNDLE_BYTES = 4 << 20
 SCHEMA = "bundle long, ids array<long>, texts array<string>"
 
@@ -18,6 +20,7 @@ def bundled(docs: DataFrame, id_col: str, text: str, size: int = BUNDLE_BYTES, b
     """Rows (bundle, ids, texts) of about ``size`` bytes of text; a longer text is a bundle of its own. Bundle numbers
     hold only for one evaluation, so the result must be written before it is used twice; those of different batches differ."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructType
 
-from .common import WHITE, dropped, scratch, spread_join, table, written
+from .common import WHITE, dropped, scratch, spread_join, table, trimmed, written
 
 BLOCK_BYTES, SEEN_BYTES, OUT_BYTES = 2048, 24 << 20, 4 << 20
 
@@ -53,6 +53,7 @@ class Seen:
 
 
 def _blocks(block_bytes: int, out: list[str]):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .blobs import planes, squeeze, unplanes, unsqueeze
 from .bundles import bundled, range_bits, ranges
-from .common import dropped, fresh, id_text_hash, rows_of, scratch, spread_join, table, text_of, written
+from .common import dropped, fresh, id_text_hash, rows_of, scratch, spread_join, table, text_of, trimmed, written
 from .components import components
 from .textvec import shingle_sets
 from .trie import spanning_links
@@ -46,6 +46,7 @@ def _lower(texts: list) -> list[bytes]:
     return [(t or "").encode().lower() for t in texts]
 
 
+@trimmed
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = shingle_sets(_lower(batch.column(2).to_pylist()), WORDS)
@@ -61,6 +62,7 @@ def _entries(texts: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
 
 
 def _ask(bits: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bundle, _, texts in rows_of(batches):
             _, h, n = _entries(texts)
@@ -72,6 +74,7 @@ def _ask(bits: int):
     return run
 
 
+@trimmed
 def _frequency(rows: pd.DataFrame) -> pd.DataFrame:
     hs = [unsqueeze(b) for b in rows["h"]]
     _, at = np.unique(np.concatenate(hs), return_inverse=True)
@@ -84,6 +87,7 @@ def _frequency(rows: pd.DataFrame) -> pd.DataFrame:
 def _candidates(bits: int):
     """(class_id, n, keys, tokens): keys are the shared shingles of the prefix, tokens the whole set."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, replies in rows_of(batches):
             sets, h, _ = _entries(texts)
@@ -116,6 +120,7 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(cut, np.concatenate(keys)), pa.array(tokens, pa.binary())], ["class_id", "n", "keys", "tokens"])
 
 
+@trimmed
 def _joined(rows: pd.DataFrame) -> pd.DataFrame:
     """Spanning links inside each unit of work: rows (unit, class_id, tokens, grp, asked)."""
     out = []

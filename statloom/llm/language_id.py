@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import table, text_of, trimmed
 from .textvec import chunks
 
 ORDER = 3
@@ -52,6 +52,7 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[keep], n
 
 
+@trimmed
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for lang, rows in b.groupby("lang"):
@@ -180,6 +181,7 @@ def _lettered(texts: list[str]) -> np.ndarray:
 
 
 def _predict(shared):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
@@ -228,6 +230,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, named = docs.columns.index(text), docs.columns.index(lang)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:

@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import table, text_of, trimmed, written
 
-SIZE, END_ID, GROUP_PIECES, CACHE = 2048, 1, 8192, 700_000
+SIZE, END_ID, GROUP_PIECES = 2048, 1, 8192
+#: Chunks, and parts of them, that a process remembers, and bytes of the longest one.
+CACHE, CACHE_BYTES = 150_000, 64
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -42,7 +44,7 @@ class Encoder:
     The tokenizer drops white space and no rule of it looks across ASCII white space, so a text's ids are those of its
     chunks in a row. Chunks of Latin letters, digits and signs are lower-cased and split here as the tokenizer's own
     rules do, and its model is asked for each part; other chunks, and texts that may hold a special token's string, go
-    through the whole tokenizer. When the memory is full it starts anew.
+    through the whole tokenizer. When the memory is full it starts anew; long chunks and parts aren't remembered.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -60,10 +62,12 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) >= self.most:
-                self.parts.clear()
             text = part if part.isascii() else "".join([self.characters[b] for b in part.encode()])
-            found = self.parts[part] = _packed([t.id for t in self.model.tokenize(text)])
+            found = _packed([t.id for t in self.model.tokenize(text)])
+            if len(text) <= CACHE_BYTES:
+                if len(self.parts) >= self.most:
+                    self.parts.clear()
+                self.parts[part] = found
         return found
 
     def _chunk(self, chunk: bytes) -> bytes:
@@ -84,14 +88,16 @@ class Encoder:
         found = list(map(self.chunks.get, chunks))
         if None in found:
             have = self.chunks
-            if len(have) >= self.most:
-                have.clear()
             for k, f in enumerate(found):
                 if f is None:
                     c = chunks[k]
                     found[k] = f = have.get(c)
                     if f is None:
-                        found[k] = have[c] = self._chunk(c)
+                        found[k] = f = self._chunk(c)
+                        if len(c) <= CACHE_BYTES:
+                            if len(have) >= self.most:
+                                have.clear()
+                            have[c] = f
         return b"".join(found)
 
 
@@ -106,6 +112,7 @@ def encoder(path: str) -> Encoder:
 
 
 def _pieces(path: str, size: int, end_id: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -151,6 +158,7 @@ class Bins:
 
 
 def _pack(size: int):
+    @trimmed
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "start", "uid"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         bins, used, which, offset = Bins(size, len(group)), {}, [], []

@@ -1,8 +1,13 @@
 """The pipeline's stages, each on all that the one before kept, against brute force."""
 
 import hashlib
+import random
 import re
+import struct
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 from zlib import crc32
 
 import pytest
@@ -127,3 +132,41 @@ def test_clashing_names(spark):
         docs = spark.createDataFrame(kept, docs.schema)
     assert found[:3] == [[0, 1, 2, 3, 4], [0, 1, 2, 4], [0, 2, 4]]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(found[-1])
+
+
+def test_encoder_remembers_little():
+    encode = packing.Encoder(packing.tokenizer_path())
+    r = random.Random(5)
+    for k in range(100):  # all words differ; the last texts' ones are long
+        words = ["".join(r.choices("bcdfghjklmnp", k=12 if k < 90 else 2000)) for _ in range(3000 if k < 90 else 100)]
+        encode(" ".join(words))
+    kept = [*encode.chunks.items(), *encode.parts.items()]
+    assert len(kept) <= 300_000 and sum(len(a) + len(b) for a, b in kept) < 20e6
+    assert encode(" ".join(words)) == b"".join(map(encode, words))
+    assert encode(words[0]) == struct.pack(f"<{len(ids := encode.whole.encode(words[0], add_special_tokens=False).ids)}I", *ids)
+
+
+IDLE = """
+import ctypes, re, types
+import pandas as pd, pyarrow as pa
+from statloom.llm import language_id
+from tests.llm.cases import prose
+
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()).group(1)) / 1024
+
+counts = pd.concat(language_id._count(iter([pd.DataFrame({"lang": list("abcdefgh"), "text": [prose(5000, k) for k in range(8)]})])))
+run = language_id._predict(types.SimpleNamespace(value=language_id.Model(counts)))
+base = prose(60_000, 9)
+batches = [pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([base[i * 70 : i * 70 + 500 + i] for i in range(3000)])], ["doc_id", "text"])] * 3
+ctypes.CDLL(None).malloc_trim(0)
+before = held()
+for _ in run(iter(batches)):
+    pass
+print(held() - before)
+"""
+
+
+def test_idle_worker_holds_little():
+    out = subprocess.run([sys.executable, "-c", IDLE], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=120, check=True).stdout
+    assert float(out) < 10, out
