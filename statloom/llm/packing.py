@@ -22,7 +22,7 @@ from .common import table, text_of, trimmed, written
 
 SIZE, END_ID, GROUP_PIECES = 2048, 1, 8192
 #: Chunks, and parts of them, that a process remembers, and bytes of the longest one.
-CACHE, CACHE_BYTES = 150_000, 64
+CHUNKS, PARTS, CACHE_BYTES = 100_000, 500_000, 64
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -47,12 +47,12 @@ class Encoder:
     through the whole tokenizer. When the memory is full it starts anew; long chunks and parts aren't remembered.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, most_chunks: int = CHUNKS, most_parts: int = PARTS):
         import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.most = self.whole.model, cache
+        self.model, self.most_chunks, self.most_parts = self.whole.model, most_chunks, most_parts
         self.chunks: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.plain = regex.compile(r"[\x21-\x7E\u00A1-\u024F]+")
@@ -65,7 +65,7 @@ class Encoder:
             text = part if part.isascii() else "".join([self.characters[b] for b in part.encode()])
             found = _packed([t.id for t in self.model.tokenize(text)])
             if len(text) <= CACHE_BYTES:
-                if len(self.parts) >= self.most:
+                if len(self.parts) >= self.most_parts:
                     self.parts.clear()
                 self.parts[part] = found
         return found
@@ -95,7 +95,7 @@ class Encoder:
                     if f is None:
                         found[k] = f = self._chunk(c)
                         if len(c) <= CACHE_BYTES:
-                            if len(have) >= self.most:
+                            if len(have) >= self.most_chunks:
                                 have.clear()
                             have[c] = f
         return b"".join(found)
