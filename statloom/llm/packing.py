@@ -8,8 +8,10 @@ capacity below them.
 
 from __future__ import annotations
 
+import functools
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import table, text_of, trimmed, written
 
 SIZE, END_ID, GROUP_PIECES = 2048, 1, 8192
-#: Chunks, and parts of them, that a process remembers, and bytes of the longest one.
+#: Chunks that aren't plain, and parts of others, that a process remembers, and bytes of the longest one.
 CHUNKS, PARTS, CACHE_BYTES = 100_000, 500_000, 64
+#: Stands for the apostrophe of an ending, so that it isn't taken for a sign. No plain text holds it.
+SHORT = "\x01"
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -38,67 +42,94 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+@functools.cache
+def _rules() -> tuple[re.Pattern, ...]:
+    """Patterns of: a character that no plain text holds; a white-space-separated chunk with such a one; in lower-cased plain
+    text an ending after an apostrophe, a number, a run of signs. They begin with one set of characters if they can,
+    which is what ``re`` finds fast."""
+    import regex
+
+    white, plain = r"\t-\r\x20", r"\x21-\x7E\u00A1-\u024F"
+    lower = sorted({c for k in (*range(0x21, 0x7F), *range(0xA1, 0x250)) for c in chr(k).lower()})
+    number = "".join(c for c in lower if regex.match(r"\p{N}", c))
+    sign = re.escape("".join(c for c in lower if regex.match(r"[^\s\p{L}\p{N}]", c)))
+    return (
+        re.compile(rf"[^{white}{plain}]"),
+        re.compile(rf"(?<![^{white}])([{plain}]*+[^{white}{plain}][^{white}]*+)"),
+        re.compile(rf"(?<![{sign}])'(s|t|re|ve|m|ll|d)"),
+        re.compile(rf"[{number}]"),
+        re.compile(rf"[{sign}][{sign}]*"),
+    )
+
+
+class Memory(dict):
+    """Ids of strings by a function, which is asked for those that aren't known.
+
+    Half of ``most`` are here; when these are full they become the older half, whose strings come back when they are met
+    again, so frequent ones stay and rare ones go. Long ones aren't remembered.
+    """
+
+    def __init__(self, ask: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.ask, self.most, self.older = ask, max(1, most // 2), {}
+
+    def __missing__(self, string: str) -> bytes:
+        found = self.older.get(string)
+        if found is None:
+            found = self.ask(string)
+            if len(string.encode()) > CACHE_BYTES:
+                return found
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[string] = found
+        return found
+
+
 class Encoder:
-    """Ids of a text by a public tokenizer, with a memory of white-space-separated chunks.
+    """Ids of a text by a public tokenizer, with a memory of the parts that its rules split texts into.
 
     The tokenizer drops white space and no rule of it looks across ASCII white space, so a text's ids are those of its
-    chunks in a row. Chunks of Latin letters, digits and signs are lower-cased and split here as the tokenizer's own
-    rules do, and its model is asked for each part; other chunks, and texts that may hold a special token's string, go
-    through the whole tokenizer. When the memory is full it starts anew; long chunks and parts aren't remembered.
+    white-space-separated chunks in a row. Texts of Latin letters, digits and signs are lower-cased here and get spaces
+    around what the tokenizer's own rules split off: endings after an apostrophe, numbers, runs of signs. Its model is
+    asked for each part. Chunks with other characters, which have a memory of their own, and texts that may hold a special
+    token's string go through the whole tokenizer.
     """
 
     def __init__(self, path: str, most_chunks: int = CHUNKS, most_parts: int = PARTS):
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.most_chunks, self.most_parts = self.whole.model, most_chunks, most_parts
-        self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.plain = regex.compile(r"[\x21-\x7E\u00A1-\u024F]+")
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.characters = _byte_characters()
+        self.model, self.characters = self.whole.model, _byte_characters()
+        self.chunks, self.parts = Memory(self._whole, most_chunks), Memory(self._part, most_parts)
+        self.odd, self.odd_chunk, self.ending, self.number, self.signs = _rules()
 
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            text = part if part.isascii() else "".join([self.characters[b] for b in part.encode()])
-            found = _packed([t.id for t in self.model.tokenize(text)])
-            if len(text) <= CACHE_BYTES:
-                if len(self.parts) >= self.most_parts:
-                    self.parts.clear()
-                self.parts[part] = found
-        return found
+    def _whole(self, text: str) -> bytes:
+        return _packed(self.whole.encode(text, add_special_tokens=False).ids)
 
-    def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if text.isascii() and text.isprintable():
-            parts = self.split.findall(text.lower())
-        elif self.plain.fullmatch(text):
-            parts = self.split.findall("".join([c.lower() for c in text]))
-        else:
-            return _packed(self.whole.encode(text, add_special_tokens=False).ids)
-        return self._part(parts[0]) if len(parts) == 1 else b"".join(map(self._part, parts))
+    def _part(self, part: str) -> bytes:
+        text = "'" + part[1:] if part[0] == SHORT else part
+        if not text.isascii():
+            text = "".join([self.characters[b] for b in text.encode()])
+        return _packed([t.id for t in self.model.tokenize(text)])
+
+    def _plain(self, text: str) -> bytes:
+        text = text.lower()
+        if "'" in text:
+            text = self.ending.sub(rf" {SHORT}\1 ", text)
+        text = self.signs.sub(r" \g<0> ", self.number.sub(r" \g<0> ", text))
+        return b"".join(map(self.parts.__getitem__, text.split()))
 
     def __call__(self, text: str) -> bytes:
         """The ids, as little-endian unsigned 32-bit integers."""
         if "<|" in text:
-            return _packed(self.whole.encode(text, add_special_tokens=False).ids)
-        chunks = text.encode().split()
-        found = list(map(self.chunks.get, chunks))
-        if None in found:
-            have = self.chunks
-            for k, f in enumerate(found):
-                if f is None:
-                    c = chunks[k]
-                    found[k] = f = have.get(c)
-                    if f is None:
-                        found[k] = f = self._chunk(c)
-                        if len(c) <= CACHE_BYTES:
-                            if len(have) >= self.most_chunks:
-                                have.clear()
-                            have[c] = f
-        return b"".join(found)
+            return self._whole(text)
+        if not self.odd.search(text):
+            return self._plain(text)
+        pieces = self.odd_chunk.split(text)  # plain, odd, plain, ...; a plain one of one character is white space
+        pieces[1::2] = map(self.chunks.__getitem__, pieces[1::2])
+        pieces[::2] = [self._plain(t) if len(t) > 1 else b"" for t in pieces[::2]]
+        return b"".join(pieces)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -146,6 +146,35 @@ def test_encoder_remembers_little():
     assert encode(words[0]) == struct.pack(f"<{len(ids := encode.whole.encode(words[0], add_special_tokens=False).ids)}I", *ids)
 
 
+class Asked:
+    """A tokenizer's model that counts what it is asked for."""
+
+    def __init__(self, model):
+        self.model, self.times = model, Counter()
+
+    def tokenize(self, text):
+        self.times[text] += 1
+        return self.model.tokenize(text)
+
+
+def test_encoder_keeps_frequent_parts():
+    encode = packing.Encoder(packing.tokenizer_path(), 100, 100)
+    encode.model = asked = Asked(encode.model)
+    r, frequent = random.Random(6), [f"{a}{b}" for a in "bcdf" for b in "aeiou"]
+    for _ in range(100):  # 25 new words each time, more than there is room for
+        encode(" ".join([*frequent, *("".join(r.choices("ghjklmnp", k=12)) for _ in range(25))]))
+    assert [asked.times[w] for w in frequent] == [1] * len(frequent)
+    assert sum(asked.times.values()) == len(frequent) + 2500 and len(encode.parts) + len(encode.parts.older) <= 100
+
+
+def test_encoder_on_odd_texts():
+    encode = packing.Encoder(packing.tokenizer_path(), 10, 20)
+    r, some = random.Random(7), [*"'''stremvldS,.!-\" \t\n09²½", *"\x0b\x0c\x1c\x1f\x01\x7f\x85\xa0\xadéÉßİȺǅ̇́", *"ΣςAΩ你好’“—…　ﬁ<|>"]
+    for k in range(4000):
+        text = "".join(r.choices(some if k % 3 else some[:22], k=r.randrange(1, 25)))
+        assert encode(text) == struct.pack(f"<{len(ids := encode.whole.encode(text, add_special_tokens=False).ids)}I", *ids), text
+
+
 IDLE = """
 import ctypes, re, types
 import pandas as pd, pyarrow as pa
