@@ -270,7 +270,7 @@ def metadata_json(path: str) -> str:
 
 _ALLOWED = {
     "dta": {"value_labels", "variable_labels", "variable_format", "compress", "data_label", "threads"},
-    "sav": {"value_labels", "variable_labels", "variable_measure", "variable_display_width", "variable_alignment", "variable_format", "file_label", "threads"},
+    "sav": {"value_labels", "variable_labels", "variable_measure", "variable_display_width", "variable_alignment", "variable_format", "file_label", "byte_codes", "threads"},
     "xpt": {"version", "table_name", "file_label", "variable_labels", "variable_format", "storage_widths"},
     "por": {"file_label", "variable_labels"},
 }

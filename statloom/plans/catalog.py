@@ -280,24 +280,18 @@ def sas7bcat_labels(spark, sf):
     return out.select(F.col("KEY").cast("int"), "REGION")
 
 
-def _spss_customer(spark, sf, name, compression):
-    path = _file(name)
-    number, text = 5 << 16 | 8 << 8 | 2, 1 << 16
-    cell = lambda v: samples.doubles(v)[0]
-    cells = lambda t, n: [t.encode().ljust(n)[a : a + 8] for a in range(0, n, 8)]
-    rows = [[cell(r[0]), *cells(r[1], 24), cell(r[2]), cell(r[3]), *cells(r[4], 16)] for r in _table(spark, sf, "customer").toLocalIterator()]
-    variables = [("KEY", 0, number, 0, b"", ""), ("NAME", 24, text | 24 << 8, 0, b"", ""), ("NATION", 0, number, 0, b"", ""), ("BALANCE", 0, number, 0, b"", ""), ("SEGMENT", 16, text | 16 << 8, 0, b"", "")]
-    samples.sav(pathlib.Path(path), variables, rows, compression)
-    out = scan(spark, path)
+def _spss_customer(spark, sf, name, **kwargs):
+    df = _table(spark, sf, "customer").select(F.col("c_custkey").alias("KEY"), F.col("c_name").alias("NAME"), F.col("c_nationkey").alias("NATION"), F.col("c_acctbal").alias("BALANCE"), F.col("c_mktsegment").alias("SEGMENT"))
+    out = scan(spark, _stored(spark, df, name, **kwargs))
     return out.select(F.col("KEY").cast("bigint").alias("c_custkey"), F.col("NAME").alias("c_name"), F.col("NATION").cast("int").alias("c_nationkey"), F.col("BALANCE").alias("c_acctbal"), F.col("SEGMENT").alias("c_mktsegment"))
 
 
 def sav_bytecode(spark, sf):
-    return _spss_customer(spark, sf, "customer.sav", 1)
+    return _spss_customer(spark, sf, "customer.sav", byte_codes=True)
 
 
 def zsav_zlib(spark, sf):
-    return _spss_customer(spark, sf, "customer.zsav", 2)
+    return _spss_customer(spark, sf, "customer.zsav")
 
 
 def sav_user_missing(spark, sf):

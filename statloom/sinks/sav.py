@@ -1,4 +1,4 @@
-"""Writing SPSS system files in UTF-8: .sav with fixed 8-byte cells, .zsav with byte codes in zlib blocks."""
+"""Writing SPSS system files in UTF-8: .sav with fixed 8-byte cells or byte codes, .zsav with byte codes in zlib blocks."""
 
 from __future__ import annotations
 
@@ -21,6 +21,8 @@ from .parts import save
 MOST_BYTES = 32_767
 #: Fixed value: bytes of a zlib block before it is deflated, at most. Bias: what byte codes for whole numbers are raised by.
 BLOCK, BIAS = 0x3FF000, 100
+#: Fixed value: a cluster whose first code ends the data.
+END = bytes([252]) + bytes(7)
 TYPES = {v: k for k, v in FORMAT_NAMES.items()}
 
 
@@ -128,8 +130,9 @@ def _extension(sub: int, size: int, body: bytes) -> bytes:
     return struct.pack("<iiii", 7, sub, size, len(body) // size) + body
 
 
-def write_sav(df: DataFrame, path: str, value_labels: dict | None = None, variable_labels: dict | None = None, variable_measure: dict | None = None, variable_display_width: dict | None = None, variable_alignment: dict | None = None, variable_format: dict | None = None, file_label: str = "", threads=None, each: str | None = None) -> None:
-    """Write ``df``, in its order, as a .sav file with plain cells or a .zsav file with zlib blocks. Nulls are system-missing or spaces;
+def write_sav(df: DataFrame, path: str, value_labels: dict | None = None, variable_labels: dict | None = None, variable_measure: dict | None = None, variable_display_width: dict | None = None, variable_alignment: dict | None = None, variable_format: dict | None = None, file_label: str = "", byte_codes: bool = False, threads=None, each: str | None = None) -> None:
+    """Write ``df``, in its order, as a .sav file with plain cells or, with ``byte_codes``, codes for them, or as a .zsav file
+    with codes in zlib blocks. Nulls are system-missing or spaces;
     times have whole seconds; texts take the width of their widest value."""
     df = plain(df)
     for n in df.columns:
@@ -156,7 +159,9 @@ def write_sav(df: DataFrame, path: str, value_labels: dict | None = None, variab
 
     def encode(batch, state):
         room = np.concatenate([p.bytes(batch.column(k)) for k, p in enumerate(plans)], axis=1)
-        return _blocks(byte_coded(room, of_text)) if squeezed else (room.tobytes(), b"")
+        if not squeezed:
+            return byte_coded(room, of_text) if byte_codes else room.tobytes(), b""
+        return _blocks(byte_coded(room, of_text))
 
     def finish(parts, out) -> None:
         places, heads, at = {}, [], 1
@@ -197,11 +202,13 @@ def write_sav(df: DataFrame, path: str, value_labels: dict | None = None, variab
         body += _extension(20, 1, b"UTF-8")
         now = time.gmtime()
         rows = parts.rows if parts.rows < 2**31 else -1
-        out.write((b"$FL3" if squeezed else b"$FL2") + b"@(#) SPSS DATA FILE statloom".ljust(60) + struct.pack("<iiiii", 2, at - 1, 2 if squeezed else 0, 0, rows) + struct.pack("<d", float(BIAS)))
+        out.write((b"$FL3" if squeezed else b"$FL2") + b"@(#) SPSS DATA FILE statloom".ljust(60) + struct.pack("<iiiii", 2, at - 1, 2 if squeezed else int(byte_codes), 0, rows) + struct.pack("<d", float(BIAS)))
         out.write(time.strftime("%d %b %y%H:%M:%S", now).encode() + fitted(file_label, 64, "the file label").ljust(64) + bytes(3))
         out.write(body + struct.pack("<ii", 999, 0))
         if not squeezed:
             parts.into(out)
+            if byte_codes:
+                out.write(END)
             return
         sizes = io.BytesIO()
         parts.into(sizes, more=True)
