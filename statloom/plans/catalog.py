@@ -252,10 +252,10 @@ _CUSTOMER = [("c_custkey", "num", "", ""), ("c_name", 25, "", ""), ("c_nationkey
 
 
 def _sas_customer(spark, sf, **kwargs):
-    """Customers as a SAS data set, which the library doesn't write: assembled on the driver."""
+    """Customers as a SAS data set, which the library doesn't write: its pages are assembled in tasks."""
     path = _file("customer.sas7bdat")
-    rows = [(float(r[0]), r[1], float(r[2]), r[3], r[4]) for r in _table(spark, sf, "customer").toLocalIterator()]
-    samples.sas7bdat(pathlib.Path(path), _CUSTOMER, rows, **kwargs)
+    df = _table(spark, sf, "customer").select(*[c for c, *_ in _CUSTOMER])
+    samples.sas7bdat_of(df.repartition(spark.sparkContext.defaultParallelism), path, _CUSTOMER, **kwargs)
     return scan(spark, path).select(F.col("c_custkey").cast("bigint"), "c_name", F.col("c_nationkey").cast("int"), "c_acctbal", "c_mktsegment")
 
 

@@ -18,6 +18,7 @@ MAGIC = bytes(12) + bytes.fromhex("c2ea8160b31411cfbd92080009c7318c181f1011")
 #: Subheader signatures.
 ROW_SIZE, COLUMN_SIZE, COUNTS, FORMAT, ATTRIBUTES, TEXT, LIST, NAME = 0xF7F7F7F7, 0xF6F6F6F6, 0xFFFFFC00, 0xFFFFFBFE, 0xFFFFFFFC, 0xFFFFFFFD, 0xFFFFFFFE, 0xFFFFFFFF
 KNOWN = {ROW_SIZE, COLUMN_SIZE, COUNTS, FORMAT, ATTRIBUTES, TEXT, LIST, NAME}
+SIGNATURES, HIGH, LOW = (np.array(sorted(s), np.uint64) for s in (KNOWN, KNOWN - {NAME}, {ROW_SIZE, COLUMN_SIZE}))
 DATA, MIX, META = 0x100, 0x200, 0x000
 #: Character sets by the header's encoding byte; the nearest one where Python lacks the set named after it.
 CHARSETS = {
@@ -92,20 +93,22 @@ class Sas7bdat(Source):
 
     # -- header and page index -----------------------------------------------------------------------------------------
 
-    def _pointers(self, page: bytes, n: int):
-        w = self.h.integer
-        for k in range(n):
-            at = self.h.start + 8 + k * 3 * w
-            yield self.h.int(page, at), self.h.int(page, at + w), page[at + 2 * w], page[at + 2 * w + 1]
+    def _pointers(self, page: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """A page's pointers to subheaders (at, n, packed, kind), and the subheaders' signatures, 0 for those of no known kind."""
+        w, s = self.h.integer, self.h.start + 8
+        number = f"{self.h.end}u{w}"
+        n = max(0, min(n, (len(page) - s) // (3 * w)))
+        found = np.frombuffer(page, [("at", number), ("n", number), ("packed", "u1"), ("kind", "u1"), ("", f"V{w - 2}")], n, s)
+        at = np.minimum(found["at"], max(0, len(page) - w)).astype(np.int64)
+        v = np.frombuffer(page, np.uint8)[at[:, None] + np.arange(w)].view(number).ravel().astype(np.uint64)
+        low, high = v & np.uint64(0xFFFFFFFF), v >> np.uint64(32)
+        first = self.h.wide & np.isin(high, HIGH) & ~np.isin(low, LOW)
+        what = np.where(first, high, low)
+        return found, np.where(np.isin(what, SIGNATURES), what, 0)
 
-    def _signature(self, page: bytes, at: int) -> int:
-        v = self.h.int(page, at)
-        low, high = v & 0xFFFFFFFF, v >> 32
-        return high if self.h.wide and high in KNOWN and high != NAME and low not in (ROW_SIZE, COLUMN_SIZE) and high != 0 else low
-
-    def _is_row(self, page: bytes, at: int, n: int, packed: int, kind: int) -> bool:
-        """Whether a subheader is a row of a compressed data set: of the rows' type, no longer than one, of no known kind."""
-        return bool(n and self.compression and kind == 1 and packed in (0, 4) and n <= self.record and self._signature(page, at) not in KNOWN)
+    def _are_rows(self, found: np.ndarray, what: np.ndarray) -> np.ndarray:
+        """Which subheaders are rows of a compressed data set: of the rows' type, no longer than one, of no known kind."""
+        return (found["n"] > 0) & bool(self.compression) & (found["kind"] == 1) & np.isin(found["packed"], (0, 4)) & (found["n"] <= self.record) & (what == 0)
 
     def _scan(self, f) -> None:
         row = 0
@@ -120,10 +123,12 @@ class Sas7bdat(Source):
             if kind & 0xF00 != DATA or self.compression:
                 f.seek(self.h.size + k * self.h.page_size)
                 full = f.read(self.h.page_size)
-                for at, n, packed, what in self._pointers(full, subs):
-                    if n and packed != 1 and not self._is_row(full, at, n, packed, what):
-                        self._subheader(full[at : at + n], self._signature(full, at))
-            n = self._page_rows(full, kind, blocks, subs, row)
+                full = self._pointers(page := full, subs)
+                found, what = full
+                for k_sub in np.flatnonzero((what > 0) & (found["n"] > 0) & (found["packed"] != 1)).tolist():
+                    at, n = int(found["at"][k_sub]), int(found["n"][k_sub])
+                    self._subheader(page[at : at + n], int(what[k_sub]))
+            n = self._page_rows(full, kind, blocks, row)
             if n:
                 self.spans.append((row, k))
                 row += n
@@ -132,12 +137,12 @@ class Sas7bdat(Source):
         if row < self.rows and self.record:
             raise SasError(f"{self.path} has {row} rows, but its header says {self.rows}")
 
-    def _page_rows(self, page, kind, blocks, subs, row) -> int:
+    def _page_rows(self, pointers, kind, blocks, row) -> int:
         left = self.rows - row
         if kind & 0xF00 == DATA:
             return min(blocks, left)
         if self.compression:
-            return min(sum(self._is_row(page, *p) for p in self._pointers(page, subs)), left)
+            return min(int(self._are_rows(*pointers).sum()), left)
         if kind & 0xF00 == MIX:
             return min(self.mix_rows or self.rows, left)
         return 0
@@ -182,10 +187,11 @@ class Sas7bdat(Source):
             at, n = s + 8, blocks
         elif self.compression:
             unpack, out = run_lengths if self.compression == "rle" else ross, []
-            for p in self._pointers(page, subs):
-                if self._is_row(page, *p):
-                    raw = page[p[0] : p[0] + p[1]]
-                    out.append(unpack(raw, self.record) if len(raw) < self.record else raw[: self.record])
+            found, what = self._pointers(page, subs)
+            found = found[self._are_rows(found, what)]
+            for at, n in zip(found["at"].tolist(), found["n"].tolist(), strict=True):
+                raw = page[at : at + n]
+                out.append(unpack(raw, self.record) if len(raw) < self.record else raw[: self.record])
             return np.frombuffer(b"".join(out), np.uint8).reshape(-1, self.record)
         else:
             at, n = s + 8 + subs * 3 * w, self.mix_rows or self.rows
@@ -200,7 +206,7 @@ class Sas7bdat(Source):
     def records(self, start, count, step):
         stop = min(start + count, self.rows)
         firsts = [r for r, _ in self.spans]
-        k, held, at = max(bisect_right(firsts, start) - 1, 0), [], start
+        k, held, at, rows_held = max(bisect_right(firsts, start) - 1, 0), [], start, 0
         with open_binary(self.path) as f:
             while k < len(self.spans) and self.spans[k][0] < stop:
                 first, number = self.spans[k]
@@ -208,9 +214,10 @@ class Sas7bdat(Source):
                 rows = self._page_records(f.read(self.h.page_size))
                 end = self.spans[k + 1][0] if k + 1 < len(self.spans) else self.rows
                 held.append(rows[max(start - first, 0) : min(stop, end) - first])
+                rows_held += len(held[-1])
                 k += 1
-                if sum(map(len, held)) >= step or k == len(self.spans) or self.spans[k][0] >= stop:
-                    block, held = np.concatenate(held), []
+                if rows_held >= step or k == len(self.spans) or self.spans[k][0] >= stop:
+                    block, held, rows_held = np.concatenate(held), [], 0
                     yield at, block
                     at += len(block)
 
