@@ -162,6 +162,8 @@ def strings(items: list[bytes] | np.ndarray, encoding: str, empty_null: bool, cu
     """Texts without trailing spaces and NULs, and, with ``cut_nul``, without what follows a NUL. A column of ASCII
     characters without NUL is decoded at once."""
     raw = pa.array(items, pa.binary())
+    if isinstance(raw, pa.ChunkedArray):  # of many bytes
+        raw = raw.combine_chunks()
     _, ends, held = raw.buffers()
     held = np.frombuffer(held, np.uint8)[: np.frombuffer(ends, np.int32)[len(raw)]] if len(raw) and held.size else np.zeros(0, np.uint8)
     if not len(held) or (held.max() < 128 and held.min() > 0 and _holds_ascii(encoding)):

@@ -29,6 +29,8 @@ from .xpt import Xpt
 READERS = {"sas7bdat": Sas7bdat, "xpt": Xpt, "dta": Dta, "sav": Sav, "por": Por}
 TAG = "\x01tag"
 CELLS, LEAST_ROWS, MOST_ROWS = 2_000_000, 1_000, 100_000
+#: Bytes that the text columns of a batch have at most, but for a batch of one row.
+TEXT_BYTES = 16 << 20
 SPLIT_BYTES = 64 << 20
 SPARK = {"byte": T.ByteType(), "short": T.ShortType(), "int": T.IntegerType(), "float": T.FloatType(), "double": T.DoubleType(), "string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampNTZType()}
 
@@ -37,9 +39,10 @@ def open_source(path: str, fmt: str, periods: bool = False) -> Source:
     return Dta(path, periods) if fmt == "dta" else READERS[fmt](path)
 
 
-def batch_rows(columns: int, asked: int | None = None) -> int:
-    """Rows of a batch: about two million cells, between a thousand and a hundred thousand rows."""
-    return asked or max(LEAST_ROWS, min(MOST_ROWS, CELLS // max(1, columns)))
+def batch_rows(columns: int, asked: int | None = None, text: int = 0) -> int:
+    """Rows of a batch: about two million cells, between a thousand and a hundred thousand rows, fewer where the ``text``
+    bytes of a row are many."""
+    return asked or max(1, min(max(LEAST_ROWS, min(MOST_ROWS, CELLS // max(1, columns))), TEXT_BYTES // max(1, text)))
 
 
 def schema_of(source: Source, names: list[str] | None, tagged: list[str], index: str | None, time_as: str) -> T.StructType:
@@ -143,9 +146,10 @@ def decode(source: Source, o: _Options, fields, names, start: int, count: int) -
     """Record batches of the rows that pass the filters."""
     if count <= 0:
         return
-    step, tagged = batch_rows(len(names), o.batch), {n for n, _ in fields if n.endswith(TAG)}
     kinds = {c.name: c.kind for c in source.columns}
     wanted = names or [c.name for c in source.columns[:1]]
+    tagged, text = {n for n, _ in fields if n.endswith(TAG)}, sum(c.width for c in source.wanted(wanted) if c.storage == "string")
+    step = batch_rows(len(names), o.batch, text)
     for at, got in source.batches(start, count, wanted, {n.removesuffix(TAG) for n in tagged}, o.empty_null, step):
         rows = len(next(iter(got.values()))[0]) if got else 0
         arrays = []
