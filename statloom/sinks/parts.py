@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame
 from ..sources.files import split_uri
 
 
+#: Bytes of a batch that are encoded at once, about.
+ENCODED_BYTES = 8 << 20
+
+
 class Encoded:
     """Part files in a folder: (part, name, rows) of each."""
 
@@ -60,10 +64,13 @@ class Parts(Encoded):
             state = {"part": t.partitionId()}
             name = f"{t.partitionId()}-{t.taskAttemptId()}"
             with open(os.path.join(folder, name), "wb") as rows, open(os.path.join(folder, name + ".more"), "wb") as more:
-                for b in batches:
-                    x, y = encode(b, state)
-                    rows.write(x), more.write(y)
-                    n += b.num_rows
+                for whole in batches:
+                    step = max(1, whole.num_rows * ENCODED_BYTES // max(ENCODED_BYTES, whole.nbytes))
+                    for k in range(0, whole.num_rows, step):
+                        b = whole.slice(k, step)
+                        x, y = encode(b, state)
+                        rows.write(x), more.write(y)
+                        n += b.num_rows
             if finish and (n or t.partitionId() == 0):
                 whole = os.path.join(folder, name + ".whole")
                 with open(whole, "wb") as out:

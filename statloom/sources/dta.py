@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array as array_of
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ LETTERS = {"b": "byte", "i": "int", "l": "long", "f": "float", "d": "double"}
 FIRST_MISSING = {"byte": 101, "int": 32741, "long": 2147483621}
 #: Bits of a long string's reference that name the variable.
 REFERENCE_BITS = {117: 32, 118: 16, 119: 24}
+#: Bytes of long strings that are decoded at once.
+LONG_BYTES = 16 << 20
 LAST_VALID_OLD = {"byte": 126, "int": 32766, "long": 2147483646}
 
 
@@ -244,16 +247,44 @@ class Dta(Source):
         since = v * months - 120 if unit != "ty" else (v - 1970) * 12
         return since.astype("M8[M]").astype("M8[D]").astype(np.int64)
 
-    def _long(self, block, c, empty_null) -> pa.Array:
+    def batches(self, start, count, names, tagged, empty_null, step):
+        """Blocks whose long strings have over ``LONG_BYTES`` are decoded some rows at a time."""
+        wanted = self.wanted(names)
+        long = [c for c in wanted if c.extra["type"] == "strL"]
+        for at, block in self.records(start, count, step):
+            for a, b in self._pieces(block, long) if long else [(0, len(block))]:
+                part = block[a:b]
+                yield at + a, {c.name: self.decode(part, c, c.name in tagged, empty_null) for c in wanted}
+
+    def _pieces(self, block: np.ndarray, long: list[Column]) -> Iterator[tuple[int, int]]:
+        """Consecutive ranges of a block's rows with at most ``LONG_BYTES`` of long strings, or of one row."""
+        size, total = self._long_strings()[2], np.zeros(len(block), np.int64)
+        for c in long:
+            which, hit = self._found(block, c)
+            if len(size):
+                total += np.where(hit, size[which], 0)
+        ends, a = np.cumsum(total), 0
+        while a < len(block):
+            before = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + LONG_BYTES, "right")))
+            yield a, b
+            a = b
+
+    def _found(self, block: np.ndarray, c: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the file's long strings the rows of a block have, and whether they have one."""
         big = self.end == ">"
         raw = cells(block, c.offset, 8, self.end + "u8")
         # writers of big-endian files differ in how wide the variable's number is at release 119
         keys = [self._reference(raw, bits, big) for bits in ((24, 16) if big and self.release == 119 else (REFERENCE_BITS[self.release],))]
-        known, at, size = self._long_strings()
+        known = self._long_strings()[0]
         found = [np.searchsorted(known, k) for k in keys]
         hits = [(f < len(known)) & (known[np.minimum(f, len(known) - 1)] == k) if len(known) else np.zeros(len(k), bool) for f, k in zip(found, keys, strict=True)]
         best = int(np.argmax([h.sum() for h in hits]))
-        which, hit = np.where(hits[best], found[best], 0), hits[best]
+        return np.where(hits[best], found[best], 0), hits[best]
+
+    def _long(self, block, c, empty_null) -> pa.Array:
+        _, at, size = self._long_strings()
+        which, hit = self._found(block, c)
         texts: dict[int, bytes] = {}
         with open_binary(self.path) as f:
             for k in sorted(set(which[hit].tolist()), key=at.__getitem__):
