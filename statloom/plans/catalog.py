@@ -14,6 +14,7 @@ from ..api import scan, write, write_parts, write_sas_bundle
 from . import samples
 
 _FOLDER: list[str] = []
+PART_BYTES = 16 << 20
 
 
 def _file(name: str) -> str:
@@ -34,6 +35,12 @@ def _stored(spark: SparkSession, df: DataFrame, name: str, **kwargs) -> str:
     return path
 
 
+def _dealt(df: DataFrame, least: int, key: str, columns: list[str]) -> DataFrame:
+    """Columns of a table, dealt out by a key to a task for each 16 MB of its files, ``least`` at least."""
+    held = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.select(*columns).repartition(max(least, -(-held // PART_BYTES)), key)
+
+
 def _day(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
@@ -46,13 +53,14 @@ def dta_roundtrip_orders(spark, sf):
 
 def dta_parts_orders(spark, sf):
     folder = _file("orders-parts")
-    write_parts(_table(spark, sf, "orders").repartition(8, "o_orderkey"), folder, "dta", variable_labels={"o_orderkey": "order"})
+    orders = _table(spark, sf, "orders")
+    write_parts(_dealt(orders, 8, "o_orderkey", orders.columns), folder, "dta", variable_labels={"o_orderkey": "order"})
     return scan(spark, f"{folder}/*.dta").select(F.col("o_orderkey").cast("bigint"), "o_totalprice", _day("o_orderdate").alias("o_orderdate"), "o_orderpriority")
 
 
 def dta_parts_long_strings(spark, sf):
     folder = _file("documents-parts")
-    write_parts(_table(spark, sf, "documents").select("doc_id", "text").repartition(4, "doc_id"), folder, "dta")
+    write_parts(_dealt(_table(spark, sf, "documents"), 4, "doc_id", ["doc_id", "text"]), folder, "dta")
     return scan(spark, f"{folder}/*.dta").select(F.col("doc_id").cast("bigint"), F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"))
 
 
